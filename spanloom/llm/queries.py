@@ -6,6 +6,10 @@ import importlib
 
 #: Query, module of this subpackage, name of its SQL (or None).
 REGISTERED = [
+    ("op4_token_counts", "token_counts", None),
+    ("op6_packing", "packing", None),
+    ("op8_simhash_near_dedup", "simhash", None),
+    ("op9_bpe_automaton", "bpe", None),
     ("op3_quality_rules", "quality_rules", "OP3_SQL"),
     ("op5_secret_scans", "secrets", None),
 ]
