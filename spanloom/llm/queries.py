@@ -10,6 +10,7 @@ REGISTERED = [
     ("op6_packing", "packing", None),
     ("op8_simhash_near_dedup", "simhash", None),
     ("op9_bpe_automaton", "bpe", None),
+    ("op2_suffix_dedup", "suffix_dedup", None),
     ("op3_quality_rules", "quality_rules", "OP3_SQL"),
     ("op5_secret_scans", "secrets", None),
 ]

@@ -65,10 +65,6 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
     return texts(docs, doc_id, text).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def _bit(column: str, k: int):
-    return F.shiftrightunsigned(column, k).bitwiseAND(F.lit(1).cast("long"))
-
-
 def order_bits(distinct: DataFrame) -> list[int]:
     """The bits, correlated ones side by side: a chain that goes on with the bit most like the last one.
 
@@ -111,12 +107,27 @@ def allocate(costs: list[list[float]], total: int) -> list[int]:
     return best[total][1]
 
 
-def _part(column: str, bits: list[int]):
-    """The value of some bits of a long, packed."""
-    value = F.lit(0).cast("long")
+def _value(fps: np.ndarray, bits: list[int]) -> np.ndarray:
+    """Some bits of fingerprints (longs), packed in the order named."""
+    fps, out = fps.view(np.uint64), np.zeros(len(fps), np.uint64)
     for k, b in enumerate(bits):
-        value = value.bitwiseOR(F.shiftleft(_bit(column, b), k))
-    return value
+        out |= ((fps >> np.uint64(b)) & np.uint64(1)) << np.uint64(k)
+    return out.view(np.int64)
+
+
+def _keyed(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
+    """A row (p, v, fp) for each part p of each fingerprint and each value v within the part's threshold."""
+    masks = [np.array(_neighbours(len(bits), t), np.int64) for bits, t in parts]
+
+    def run(batches):
+        for batch in batches:
+            fps = batch.column("fp").to_numpy()
+            for p, (bits, _) in enumerate(parts):
+                own = _value(fps, bits)
+                for mask in masks[p]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fps), p, np.int32)), pa.array(own ^ mask), pa.array(fps)], ["p", "v", "fp"])
+
+    return distinct.select("fp").mapInArrow(run, "p int, v bigint, fp bigint")
 
 
 def _neighbours(n: int, within: int) -> list[int]:
@@ -133,7 +144,7 @@ def plan(distinct: DataFrame) -> list[tuple[list[int], int]]:
     chain = order_bits(distinct)
     choices = {m: [chain[64 * i // m : 64 * (i + 1) // m] for i in range(m)] for m in (2, 3, 4)}
     flat = [(m, i, bits) for m, parts in choices.items() for i, bits in enumerate(parts)]
-    keyed = distinct.select(F.inline(F.array(*[F.struct(F.lit(k).alias("k"), _part("fp", bits).alias("v")) for k, (_, _, bits) in enumerate(flat)])))
+    keyed = _keyed(distinct, [(bits, 0) for _, _, bits in flat]).withColumnRenamed("p", "k")
     counts = keyed.groupBy("k", "v").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("pairs")).collect()
     found = {r["k"]: (r["n"], r["pairs"]) for r in counts}
     best = (float("inf"), [])
@@ -143,8 +154,8 @@ def plan(distinct: DataFrame) -> list[tuple[list[int], int]]:
             if flat[k][0] == m:
                 n, pairs = found.get(k, (0, 0.0))
                 row = [0.0]
-                for t in range(DISTANCE + 1):
-                    probes = len(_neighbours(len(bits), t)) if t < 2 else float("inf")
+                for t in range(2):  # no choice of parts needs more than 1 each
+                    probes = len(_neighbours(len(bits), t))
                     row.append(n * probes + pairs * probes / CANDIDATES)
                 costs.append(row)
         chosen = allocate(costs, DISTANCE - m + 1)
@@ -209,26 +220,32 @@ def _deal_hot(keyed: DataFrame, bits: dict[int, list[int]], hot: int) -> tuple[D
     if not parts:
         return None
     large = large.where(F.col("p").isin(sorted(parts)))
-    split, known = F.lit(None).cast("array<struct<p:int,w:bigint>>"), dict(bits)
+    known, subs = dict(bits), {}
     for p in sorted(parts):
-        rest, subs = bits[p], []
+        subs[p] = []
         for k in range(DISTANCE + 1):
-            mine = rest[k :: DISTANCE + 1]
-            known[len(known)] = [b for b in rest if b not in mine]
-            subs.append(F.struct(F.lit(len(known) - 1).alias("p"), _part("fp", mine).alias("w")))
-        split = F.when(F.col("p") == p, F.array(*subs)).otherwise(split)
-    dealt = keyed.join(large, ["p", "v"], "left_semi").select("fp", "v", F.inline(split)).select("p", F.xxhash64("v", "w").alias("v"), "fp")
+            mine = bits[p][k :: DISTANCE + 1]
+            subs[p].append((len(known), mine))
+            known[len(known)] = [b for b in bits[p] if b not in mine]
+
+    def run(batches):
+        for batch in batches:
+            ps, v, fps = (batch.column(c).to_numpy() for c in ("p", "v", "fp"))
+            for p in np.unique(ps).tolist():
+                at = ps == p
+                for new, mine in subs[p]:
+                    # groups whose mixed values meet by chance only see more comparisons
+                    mixed = v[at] * np.int64(0x9E3779B97F4A7C1) + _value(fps[at], mine)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mixed), new, np.int32)), pa.array(mixed), pa.array(fps[at])], ["p", "v", "fp"])
+
+    dealt = keyed.join(large, ["p", "v"], "left_semi").select("p", "v", "fp").mapInArrow(run, "p int, v bigint, fp bigint")
     return checkpoint(keyed.join(large, ["p", "v"], "left_anti").unionByName(dealt)), known
 
 
 def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) among distinct fingerprints fp (a long each) that connect exactly what all links would."""
     parts = plan(distinct)
-    rows = []
-    for p, (bits, t) in enumerate(parts):
-        value = _part("fp", bits)
-        rows += [F.struct(F.lit(p).alias("p"), value.bitwiseXOR(F.lit(mask).cast("long")).alias("v")) for mask in _neighbours(len(bits), t)]
-    keyed = distinct.select("fp", F.inline(F.array(*rows))).select("p", "v", "fp")
+    keyed = _keyed(distinct, parts)
     others = {p: [b for b in range(64) if b not in bits] for p, (bits, _) in enumerate(parts)}
     while dealt := _deal_hot(keyed, others, hot):
         keyed, others = dealt
