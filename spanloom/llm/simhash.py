@@ -270,3 +270,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", tex
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs whose id is their group's smallest; of repeated rows with that id, one stays."""
+    found = near_duplicates(docs, width, doc_id, text)
+    chosen = found.groupBy("component_id").agg(F.min("doc_id").alias("_chosen")).select("_chosen").hint("shuffle_hash")
+    kept = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_chosen"]), "left_semi")
+    again = docs.groupBy(docs[doc_id].alias("k")).count().where("count > 1")
+    return kept if again.isEmpty() else kept.dropDuplicates([doc_id])
