@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.spans import find_spans
 from spanloom.sources.tables import table
 
-EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+(?![@-])"
+EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+(?![A-Za-z0-9@-])"
 URL = r"(?:https?://|www\.)[^\s<>\"'\]]*[^\s<>\"'\].,;:!?)]"
 CARD = r"(?<![0-9])[0-9]{16}(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
