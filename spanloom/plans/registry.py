@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.recognizers", "operators.mapping", "operators.rewrite", "operators.structure", "operators.selection", "operators.evaluation", "operators.lists", "operators.search", "operators.language", "operators.history", "sources.imports", "streaming.events"]
+MODULES = ["operators.recognizers", "operators.mapping", "operators.rewrite", "operators.structure", "operators.selection", "operators.evaluation", "operators.lists", "operators.search", "operators.language", "operators.history", "operators.rules", "operators.names", "operators.windows", "sources.imports", "streaming.events"]
 
 
 def _entries():
