@@ -23,8 +23,11 @@ import hashlib
 import json
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
 from spanloom.llm import pretokens
 from spanloom.llm.common import documents, texts
@@ -179,11 +182,8 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
 
 def decoded(frame: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:
     """frame with the text that its ids spell."""
-    from pyspark.sql import functions as F
-    from pyspark.sql.pandas.functions import pandas_udf
-
     @pandas_udf("string")
-    def spell(column: "pd.Series") -> "pd.Series":  # noqa: F821, UP037
+    def spell(column: pd.Series) -> pd.Series:
         automaton = compile_merges(path)
         return column.map(lambda x: None if x is None else automaton.decode(x))
 
