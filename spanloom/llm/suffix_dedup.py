@@ -22,10 +22,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import pandas_udf
 
 from spanloom.llm.common import checkpoint, documents, partitions
 
@@ -214,9 +217,9 @@ def _meet_runs(blocks: int):
 
 def _laid_out(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of the texts end to end, the documents in ascending order, and where each begins."""
-    texts = table.column("text").to_pylist()
     docs = table.column("uid").to_numpy()
-    data = [t.encode() for t in texts]
+    unpack = zstandard.ZstdDecompressor().decompress
+    data = [unpack(x) for x in table.column("data").to_pylist()]
     sizes = np.fromiter(map(len, data), np.int64, len(data))
     begin = np.cumsum(sizes) - sizes
     order = np.argsort(docs, kind="stable")
@@ -276,6 +279,13 @@ def _read_bytes(buckets: int, hot: int):
     return lambda key, texts, messages: run(texts, messages)
 
 
+@pandas_udf(T.BinaryType())
+def squeezed(column: pd.Series) -> pd.Series:
+    """Texts as compressed bytes: they cross two shuffles, where their size is what counts."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return column.map(lambda t: pack(t.encode()))
+
+
 def _names(*columns: np.ndarray) -> np.ndarray:
     """Ranks, from 1, of tuples of numbers."""
     name = columns[0].astype(np.int64)
@@ -386,14 +396,14 @@ def _remove(names: list[str], keep_text: bool):
         a, b = (np.searchsorted(ranges["d"], docs, side=s) for s in ("left", "right"))
         starts, ends = ranges["s"].tolist(), ranges["e"].tolist()
         size, gone, spans, sha, left = [], [], [], [], []
-        for k, text in enumerate(texts.column("text").to_pylist()):
-            data, at, kept, whole, n = text.encode(), 0, [], [], 0
+        unpack = zstandard.ZstdDecompressor().decompress
+        for k, x in enumerate(texts.column("data").to_pylist()):
+            data, at, kept, whole, n = unpack(x), 0, [], [], 0
             for s, e in zip(starts[a[k] : b[k]], ends[a[k] : b[k]], strict=True):
                 kept.append(data[at:s])
                 n += e - s
                 if keep_text:
-                    x, y = _whole(data, s, e)
-                    whole.append((x, y))
+                    whole.append(_whole(data, s, e))
                 at = e
             kept.append(data[at:])
             size.append(len(data))
@@ -402,9 +412,9 @@ def _remove(names: list[str], keep_text: bool):
             sha.append(hashlib.sha256(b"".join(kept)).hexdigest())
             if keep_text:
                 at, parts = 0, []
-                for x, y in whole:
-                    parts.append(data[at:x])
-                    at = y
+                for s, e in whole:
+                    parts.append(data[at:s])
+                    at = e
                 left.append((b"".join(parts) + data[at:]).decode())
         out = {c: texts.column(c) for c in names}
         out |= {"_n_bytes": pa.array(size, pa.int64()), "_n_removed": pa.array(gone, pa.int64()), "_n_spans": pa.array(spans, pa.int64()), "_sha": pa.array(sha, pa.string())}
@@ -431,13 +441,13 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
 
     sent = flat.select("uid", "text").mapInArrow(_send_runs(n, n), MESSAGES)
     met = checkpoint(sent.groupBy("bucket").applyInArrow(_meet_runs(n), MESSAGES))
-    texts = flat.select("uid", "text", block)
+    texts = flat.select("uid", squeezed("text").alias("data"), block)
     asked = met.where(F.col("kind") == ASKS)
     pieces = texts.groupBy("block").cogroup(asked.groupBy("bucket")).applyInArrow(_read_bytes(n, hot), MESSAGES)
     sorted_ = checkpoint(pieces.groupBy("bucket").applyInArrow(_sort_strings(n), MESSAGES))
     ranges = met.where(F.col("kind") == RANGES).unionByName(sorted_)
     schema = T.StructType([*[T.StructField(c, flat.schema[c].dataType) for c in names], *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")], T.StructField("_sha", T.StringType()), *[T.StructField("_left", T.StringType())] * keep_text])
-    done = flat.select("uid", "text", *names, block).groupBy("block").cogroup(ranges.groupBy("bucket")).applyInArrow(_remove(names, keep_text), schema)
+    done = flat.select("uid", squeezed("text").alias("data"), *names, block).groupBy("block").cogroup(ranges.groupBy("bucket")).applyInArrow(_remove(names, keep_text), schema)
     back = dict(zip([c for c in docs.columns if c != text], names, strict=True))
     fields = [F.col(back[c]).alias(c) if c in back else F.col("_left").alias(c) for c in docs.columns if c in back or keep_text]
     return done.select(F.struct(*fields).alias("row"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
