@@ -35,9 +35,11 @@ from spanloom.llm.common import checkpoint, documents, partitions
 WINDOW = 100
 GRAM = 24
 #: Bytes that are hashed at a time; a longer text is cut into segments that overlap by WINDOW - 1.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Runs that a task merges before it sends them.
-FLUSH = 1_500_000
+FLUSH = 400_000
+#: Bytes of runs that are sorted at a time, unless one anchor has more.
+SORTED = 400_000
 #: Different runs of one anchor that may meet in one group.
 HOT = 4096
 PREFIX = 32
@@ -48,7 +50,7 @@ _BASE = 0x9E3779B97F4A7C15
 RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<u4"), ("m", "u1")])
 ASK = np.dtype([("h", "<u8"), ("n", "<u4"), ("d", "<i8"), ("s", "<u4"), ("m", "u1")])
 RANGE = np.dtype([("d", "<i8"), ("s", "<u4"), ("e", "<u4")])
-PIECE = np.dtype([("d", "<i8"), ("s", "<u4"), ("m", "u1"), ("n", "<u2")])
+PIECE = np.dtype([("d", "<i8"), ("s", "<u4"), ("m", "u1"), ("n", "<u2"), ("k", "<u2")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -264,15 +266,16 @@ def _read_bytes(buckets: int, hot: int):
             tail["m"] = np.diff(np.append(first, len(owner)))
             at = np.concatenate([at[cold], where[first]])
             asks, count, key = piece, piece["m"].astype(np.int64), piece["h"]
-        bucket = (_mix(key) % np.uint64(buckets)).astype(np.int64)
+        mixed = _mix(key)
+        bucket, part = (mixed % np.uint64(buckets)).astype(np.int64), (mixed >> np.uint64(48)).astype(np.uint16)
         order = np.argsort(bucket, kind="stable")
-        asks, at, count, bucket = asks[order], at[order], count[order], bucket[order]
+        asks, at, count, bucket, part = asks[order], at[order], count[order], bucket[order], part[order]
         rows = []
         first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         for a, b in zip(first, np.append(first, len(bucket))[1:], strict=True):
             head = np.empty(b - a, PIECE)
             head["d"], head["s"], head["m"] = asks["d"][a:b], asks["s"][a:b], asks["m"][a:b]
-            head["n"] = count[a:b] + WINDOW - 1
+            head["n"], head["k"] = count[a:b] + WINDOW - 1, part[a:b]
             rows.append((PIECES, int(bucket[a]), np.int64(b - a).tobytes() + head.tobytes() + _cut(data, at[a:b], head["n"].astype(np.int64)).tobytes()))
         return pa.Table.from_batches([_frame(rows)])
 
@@ -372,7 +375,17 @@ def _sort_strings(blocks: int):
             n = int(np.frombuffer(payload[:8], np.int64)[0])
             heads.append(np.frombuffer(payload[8 : 8 + n * PIECE.itemsize], PIECE))
             bodies.append(payload[8 + n * PIECE.itemsize :])
-        ranges = repeated(np.frombuffer(b"".join(bodies), np.uint8), np.concatenate(heads)) if heads else np.zeros(0, RANGE)
+        if not heads:
+            return pa.Table.from_batches([_frame([])])
+        data, pieces = np.frombuffer(b"".join(bodies), np.uint8), np.concatenate(heads)
+        size = pieces["n"].astype(np.int64)
+        begin = np.cumsum(size) - size
+        share = pieces["k"] % (len(data) // SORTED + 1)  # an anchor's runs have the same k
+        found = []
+        for k in np.unique(share):
+            mine = share == k
+            found.append(repeated(_cut(data, begin[mine], size[mine]), pieces[mine]))
+        ranges = merged(np.concatenate(found))
         return pa.Table.from_batches([_frame([(RANGES, k, p) for k, p in _by_block(ranges, block_of(ranges["d"], blocks))])])
 
     return run
