@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import packing, personal_data, quality_rules, simhash, suffix_dedup
+from spanloom.llm import near_copies, packing, personal_data, quality_rules, suffix_dedup
 from spanloom.llm.common import checkpoint_dir, documents
 
 
@@ -21,8 +21,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id (of repeated rows of it, one)."""
-    return simhash.keep_one(docs)
+    """Of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id (of
+    repeated rows of it, one)."""
+    return near_copies.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
