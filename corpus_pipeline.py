@@ -22,7 +22,7 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8 or more) the document with the smallest id (of
-    repeated rows of it, one)."""
+    rows that share it, or have none, that with the least text)."""
     return near_copies.keep_one(docs)
 
 

@@ -41,3 +41,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def own_ids(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """docs and the name of a column that tells its rows apart: the id, or, where ids repeat or are null, a new last column (by
+    id, null first, then text; checkpointed, so that it stays the same)."""
+    odd = docs.groupBy(docs[doc_id].alias("k")).count().where("count > 1 or k is null")
+    if odd.isEmpty():
+        return docs, doc_id
+    uid = "_uid"
+    while uid.lower() in [c.lower() for c in docs.columns]:
+        uid += "_"
+    return checkpoint(docs.orderBy(F.asc_nulls_first(docs[doc_id]), docs[text]).withColumn(uid, F.monotonically_increasing_id())), uid

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, partitions, texts
+from spanloom.llm.common import checkpoint, own_ids, partitions, texts
 from spanloom.llm.components import components
 from spanloom.llm.simhash import LOWER, SEED, WORD
 from spanloom.llm.suffix_dedup import squeezed
@@ -168,7 +168,7 @@ def _verified(dealt: DataFrame, buckets: int) -> DataFrame:
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """id: the smallest doc_id of each class of near-duplicates."""
+    """id: the smallest doc_id of each class of near-duplicates, of docs whose ids tell the rows apart."""
     buckets = 4 * partitions(docs.sparkSession)
     prints = _sketches(docs, doc_id, text).groupBy("whole").agg(F.min_by(F.struct("size", "bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     sets = checkpoint(prints.select("id", "s.*"))
@@ -179,15 +179,15 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block
     # every pair of blocks meets once; a group of one block is a pair by itself
     others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda x: (x != F.col("k")) | (F.col("m") == 1))
     source = texts(docs, doc_id, text).select(F.col("doc_id").alias("id"), squeezed("text").alias("data"))
-    near = source.join(placed, "id").dropDuplicates(["id"]).select("id", "g", "data", F.explode(F.transform(others, lambda x: F.struct(F.least(x, "k").alias("i"), F.greatest(x, "k").alias("j")))).alias("at"))
+    near = source.join(placed, "id").select("id", "g", "data", F.explode(F.transform(others, lambda x: F.struct(F.least(x, "k").alias("i"), F.greatest(x, "k").alias("j")))).alias("at"))
     links = _verified(near.select("id", "g", "at.i", "at.j", "data"), buckets)
     joined = components(links).select(F.col("vertex").alias("id"), "component")
     return sets.select("id").join(joined, "id", "left").where("component is null or component = id").select("id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is their class's smallest; of repeated rows with that id, one stays."""
-    chosen = survivors(docs, doc_id, text).select(F.col("id").alias("_chosen")).hint("shuffle_hash")
-    kept = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_chosen"]), "left_semi")
-    again = docs.groupBy(docs[doc_id].alias("k")).count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates([doc_id])
+    """One row of each class: that with the smallest id, of repeated (or null, which come first) ids that with the least text."""
+    rows, uid = own_ids(docs, doc_id, text)
+    chosen = survivors(rows, uid, text).select(F.col("id").alias("_chosen")).hint("shuffle_hash")
+    kept = rows.join(chosen, rows[uid] == chosen["_chosen"], "left_semi")
+    return kept if uid == doc_id else kept.drop(uid)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, documents, partitions, texts
+from spanloom.llm.common import checkpoint, documents, own_ids, partitions, texts
 from spanloom.llm.components import components
 
 DISTANCE = 3
@@ -273,9 +273,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is their group's smallest; of repeated rows with that id, one stays."""
-    found = near_duplicates(docs, width, doc_id, text)
+    """One row of each group: that with the smallest id, of repeated (or null, which come first) ids that with the least text."""
+    rows, uid = own_ids(docs, doc_id, text)
+    found = near_duplicates(rows, width, uid, text)
     chosen = found.groupBy("component_id").agg(F.min("doc_id").alias("_chosen")).select("_chosen").hint("shuffle_hash")
-    kept = docs.join(chosen, docs[doc_id].eqNullSafe(chosen["_chosen"]), "left_semi")
-    again = docs.groupBy(docs[doc_id].alias("k")).count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates([doc_id])
+    kept = rows.join(chosen, rows[uid] == chosen["_chosen"], "left_semi")
+    return kept if uid == doc_id else kept.drop(uid)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from test_duplicates import smallest
 
-from spanloom.llm import near_copies
+from spanloom.llm import near_copies, simhash
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -77,3 +77,14 @@ def test_similar_is_exact():
 
 def test_empty(spark):
     assert near_copies.keep_one(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("keep_one", [near_copies.keep_one, simhash.keep_one])
+def test_null_and_repeated_ids(spark, keep_one):
+    random.seed(13)
+    a, b, c, d, e = (" ".join(f"w{random.randrange(4000)}" for _ in range(80)) for _ in range(5))
+    rows = [(None, a, 1), (None, b, 2), (None, a, 3), (7, c, 4), (7, d, 5), (7, d, 6), (8, d, 7), (9, e, 8), (3, e, 9), (None, None, 10)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string, _uid int"))
+    assert kept.columns == ["doc_id", "text", "_uid"]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=key) == sorted([(None, a), (None, b), (None, None), (7, c), (7, d), (3, e)], key=key)
