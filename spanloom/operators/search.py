@@ -59,12 +59,20 @@ SELECT doc_id, count(*) AS n_words, sum(n)::BIGINT AS n_flags FROM c WHERE word
 """
 
 
+def _deletions(words: Column) -> Column:
+    """The words of an array, and each without one character."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda k: F.concat(F.substring(w, F.lit(1), k - 1), F.substring(w, k + 1, F.length(w))))
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(words, less))))
+
+
 def suggest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Suggestions (word, suggestion, distance) within two edits, among dictionary words that share the first three letters and
-    differ by two letters at most in length."""
-    near = dictionary.select(F.col("word").alias("suggestion")).withColumn("block", F.substring("suggestion", 1, 3))
-    block = words.select("word").distinct().withColumn("block", F.substring("word", 1, 3))
-    pairs = block.join(near, "block").where((F.abs(F.length("word") - F.length("suggestion")) <= 2) & (F.col("word") != F.col("suggestion")))
+    """Suggestions (word, suggestion, distance) within two edits among dictionary words.
+
+    Blocked by what up to two deletions leave of each: words two edits apart share such a rest, wherever the edits are.
+    """
+    keyed = lambda df: df.select("word").distinct().select("word", F.explode(_deletions(_deletions(F.array("word")))).alias("block"))
+    near = keyed(dictionary).withColumnRenamed("word", "suggestion")
+    pairs = keyed(words).join(near, "block").where((F.abs(F.length("word") - F.length("suggestion")) <= 2) & (F.col("word") != F.col("suggestion"))).select("word", "suggestion").distinct()
     return pairs.select("word", "suggestion", F.levenshtein("word", "suggestion").alias("distance")).where("distance <= 2")
 
 
