@@ -1,20 +1,25 @@
-"""Removal of repeated byte strings by a distributed difference-cover suffix sort.
+"""Removal of repeated byte strings by a difference-cover suffix sort, dealt out by content.
 
 A byte goes if some string of WINDOW bytes that covers it also starts earlier (smaller document, or the same document
-and an earlier start). Text is brought together in three steps, each a shuffle of blocks:
-
-1. Every string of WINDOW bytes belongs to the run of neighbouring strings that share its least GRAM-byte hash, its
-   anchor, at the same place. Equal strings have equal anchors, so runs are dealt out by anchor, as digests only; equal
-   runs are merged (within a task first, so copies don't pile up), which already shows the later ones as repeats.
-2. Anchors that several different runs share, and they alone, get their bytes read, and the runs meet by anchor. An anchor
-   with more than HOT runs is dealt out further, by the first bytes of each string, so no group is unbounded.
-3. There the strings are sorted by the difference-cover algorithm: triples at the positions 1 and 2 modulo 3 are sorted
-   and named, the names' suffixes are sorted by recursion (never deeper than WINDOW bytes), the other suffixes are merged
-   in, and adjacent prefixes are compared. In a stretch of equal prefixes all but the earliest occurrence are repeats.
-
-The repeats' ranges meet the texts again by document. Defined cases: a null text is empty; texts shorter than WINDOW lose
-nothing; repeated document ids (or null ones) are told apart by their text, equal rows by an arbitrary order, so that all
-but one of them are later copies; an empty table gives an empty result; other columns, however named, are kept.
+and an earlier start). What goes is decided by comparing bytes in sorted order, never by a digest:
+
+1. Blocks. Texts are dealt into blocks of bounded size by id and kept there, compressed, in a checkpoint.
+2. Strings without a partner are set aside. Every string belongs to the run of neighbouring strings that share their least
+   GRAM-byte hash, its anchor, at the same place. Equal strings have equal anchors, so a block names the anchors it holds
+   (eight bytes each), and hears which of them occur elsewhere or twice. The others' strings are nowhere else.
+3. The rest travels with its bytes, dealt out by anchor. Equal runs of a block are merged first, bytes compared, so copies
+   never pile up. An anchor with more than HOT runs is dealt out further by all bytes of each string, so no group is unbounded.
+4. There equal runs are merged again, and the strings of the runs that differ are sorted by the difference-cover algorithm:
+   triples at the positions 1 and 2 modulo 3 are sorted and named, the names' suffixes are sorted by recursion (never deeper
+   than WINDOW bytes), the other suffixes are merged in, and adjacent prefixes are compared. In a stretch of equal prefixes
+   all but the earliest occurrence are repeats.
+5. The repeats' ranges return to the texts' blocks.
+
+Digests only choose where strings meet and which runs are worth comparing; a collision costs a comparison, no byte.
+
+Defined cases: a null text is empty; texts shorter than WINDOW lose nothing; repeated document ids (or null ones) are told
+apart by their text, equal rows by an arbitrary order, so that all but one of them are later copies; an empty table gives an
+empty result; other columns, however named, are kept; a text of any length is cut into segments, and its strings with it.
 """
 
 from __future__ import annotations
@@ -30,27 +35,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-from spanloom.llm.common import checkpoint, documents, partitions
+from spanloom.llm.common import checkpoint, documents, own_ids, partitions
 
 WINDOW = 100
 GRAM = 24
-#: Bytes that are hashed at a time; a longer text is cut into segments that overlap by WINDOW - 1.
+#: Bytes that are hashed at a time; blocks are cut into segments that overlap by WINDOW - 1.
 SEGMENT = 1 << 18
-#: Runs that a task merges before it sends them.
-FLUSH = 400_000
+#: Bytes of texts in a block (a longer text is in a block with others all the same).
+BLOCK_BYTES = 1 << 25
 #: Bytes of runs that are sorted at a time, unless one anchor has more.
 SORTED = 400_000
 #: Different runs of one anchor that may meet in one group.
 HOT = 4096
-PREFIX = 32
 
 _RNG = np.random.default_rng(20240229)
 _CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-RUN = np.dtype([("h", "<u8"), ("c", "<u8"), ("d", "<i8"), ("s", "<u4"), ("m", "u1")])
-ASK = np.dtype([("h", "<u8"), ("n", "<u4"), ("d", "<i8"), ("s", "<u4"), ("m", "u1")])
+REPLY = np.dtype([("h", "<u8"), ("n", "<u4")])
 RANGE = np.dtype([("d", "<i8"), ("s", "<u4"), ("e", "<u4")])
-PIECE = np.dtype([("d", "<i8"), ("s", "<u4"), ("m", "u1"), ("n", "<u2"), ("k", "<u2")])
+PIECE = np.dtype([("d", "<i8"), ("s", "<u4"), ("m", "u1"), ("k", "<u4")])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -87,12 +90,25 @@ class Powers:
         return out
 
 
-def runs(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one segment's bytes: the runs' starts, numbers of strings, anchors' hashes and digests."""
+class Digests:
+    """Digests of any stretches of some bytes."""
+
+    def __init__(self, data: np.ndarray, powers: Powers) -> None:
+        n = len(data)
+        self.down, self.total = powers.down, np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODE[data] * powers.up[:n], out=self.total[1:])
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return _mix((self.total[b] - self.total[a]) * self.down[a])
+
+
+def runs(data: np.ndarray, room: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one segment's bytes: the runs' starts, numbers of strings and anchors' hashes; a string starts where room (the
+    bytes left of the text) is WINDOW or more."""
     n = len(data)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_CODE[data] * powers.up[:n], out=total[1:])
-    digest = lambda a, b: _mix((total[b] - total[a]) * powers.down[a])
+    if n < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    digest = Digests(data, powers)
     at = np.arange(n - GRAM + 1)
     grams = digest(at, at + GRAM)
     low = np.uint64(SEGMENT * 2 - 1)
@@ -102,10 +118,13 @@ def runs(data: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.n
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     least = np.minimum(least[: n - WINDOW + 1], least[span - width : span - width + n - WINDOW + 1])
-    anchor = (least & low).astype(np.int64)
+    valid = room[: n - WINDOW + 1] >= WINDOW
+    anchor = np.where(valid, (least & low).astype(np.int64), -1)
     start = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
     count = np.diff(np.append(start, len(anchor)))
-    return start, count, grams[anchor[start]], digest(start, start + count + WINDOW - 1) + count.astype(np.uint64)
+    used = anchor[start] >= 0
+    start, count = start[used], count[used]
+    return start, count, grams[anchor[start]]
 
 
 def merged(ranges: np.ndarray) -> np.ndarray:
@@ -124,7 +143,7 @@ def merged(ranges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_block(rows: np.ndarray, key: np.ndarray):
+def _by_bucket(rows: np.ndarray, key: np.ndarray):
     """(key, rows as bytes) for each key."""
     order = np.argsort(key, kind="stable")
     rows, key = rows[order], key[order]
@@ -133,158 +152,228 @@ def _by_block(rows: np.ndarray, key: np.ndarray):
         yield int(key[a]), rows[a:b].tobytes()
 
 
-def _frame(rows: list[tuple]) -> pa.RecordBatch:
-    kinds, buckets, payloads = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], ["kind", "bucket", "payload"])
+MESSAGES = "kind int, bucket int, source int, payload binary"
+ANCHORS, REPLIES, RANGES, PIECES = range(4)
 
 
-MESSAGES = "kind int, bucket int, payload binary"
-RUNS, ASKS, RANGES, PIECES = range(4)
+def _frame(rows: list[tuple]) -> pa.Table:
+    kinds, buckets, sources, payloads = zip(*rows, strict=True) if rows else ((), (), (), ())
+    return pa.table({"kind": pa.array(kinds, pa.int32()), "bucket": pa.array(buckets, pa.int32()), "source": pa.array(sources, pa.int32()), "payload": pa.array(payloads, pa.binary())})
 
 
-def _read(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
-    kinds, payloads = table.column("kind").to_pylist(), table.column("payload")
-    found = [payloads[i].as_py() for i, k in enumerate(kinds) if k == kind]
-    return np.frombuffer(b"".join(found), dtype)
+def _read(table: pa.Table, kind: int) -> list[tuple[int, bytes]]:
+    """(source, payload) of the messages of a kind."""
+    return [(s, p) for k, s, p in zip(*(table.column(c).to_pylist() for c in ("kind", "source", "payload")), strict=True) if k == kind]
 
 
-def _repeats(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Runs sorted by (h, c, d, s), and which of them repeat the one before."""
-    found = found[np.lexsort((found["s"], found["d"], found["c"], found["h"]))]
-    again = np.zeros(len(found), bool)
-    again[1:] = (found["h"][1:] == found["h"][:-1]) & (found["c"][1:] == found["c"][:-1])
-    return found, again
+def _as(dtype, found: list[tuple[int, bytes]]) -> np.ndarray:
+    return np.frombuffer(b"".join([p for _, p in found]), dtype)
 
 
-def _ranges(found: np.ndarray) -> np.ndarray:
-    out = np.empty(len(found), RANGE)
-    out["d"], out["s"], out["e"] = found["d"], found["s"], found["s"] + found["m"] + np.uint32(WINDOW - 1)
-    return merged(out)
+def _cut(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    after = np.cumsum(size)
+    return data[np.repeat(at - (after - size), size) + np.arange(int(size.sum()))]
 
 
-def _send_runs(buckets: int, blocks: int):
-    def run(batches):
-        powers, held, size = None, [], 0
-
-        def flush():
-            found, again = _repeats(np.concatenate(held))
-            rows = [(RUNS, k, p) for k, p in _by_block(found[~again], (found["h"][~again] % np.uint64(buckets)).astype(np.int64))]
-            later = _ranges(found[again])
-            rows += [(RANGES, k % buckets, p) for k, p in _by_block(later, block_of(later["d"], blocks))]
-            return _frame(rows)
-
-        for batch in batches:
-            for doc, text in zip(batch.column("uid").to_pylist(), batch.column("text"), strict=True):
-                data = np.frombuffer(text.as_py().encode(), np.uint8)
-                for at in range(0, len(data) - WINDOW + 1, SEGMENT):
-                    powers = powers or Powers(SEGMENT + WINDOW)
-                    start, count, h, c = runs(data[at : at + SEGMENT + WINDOW - 1], powers)
-                    out = np.empty(len(start), RUN)
-                    out["h"], out["c"], out["d"], out["s"], out["m"] = h, c, doc, start + at, count
-                    held.append(out)
-                    size += len(out)
-                if size > FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a number (of no copy)."""
+    return np.ndarray((max(len(data) - 7, 0),), "<u8", np.ascontiguousarray(data), strides=(1,))
 
-    return run
 
+def _same(words: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes at a and at b are the same; size is 8 or more."""
+    out = np.ones(len(a), bool)
+    for k in range(0, int(size.max(initial=0)), 8):
+        step = np.minimum(k, size - 8)
+        out &= words[a + step] == words[b + step]
+    return out
 
-def _meet_runs(blocks: int):
-    """Per bucket of anchors: later equal runs as ranges, and requests for the anchors with several different runs."""
 
-    def run(table: pa.Table) -> pa.Table:
-        found, again = _repeats(_read(table, RUNS, RUN))
-        later, own = _ranges(found[again]), found[~again]
-        passed = _read(table, RANGES, RANGE)
-        rows = []
-        ranges = merged(np.concatenate([later, passed]))
-        rows += [(RANGES, k, p) for k, p in _by_block(ranges, block_of(ranges["d"], blocks))]
-        if len(own):
-            first = np.flatnonzero(np.concatenate([[True], own["h"][1:] != own["h"][:-1]]))
-            size = np.diff(np.append(first, len(own)))
-            several = np.repeat(size, size)
-            own, several = own[several > 1], several[several > 1]
-            asks = np.empty(len(own), ASK)
-            for name in ("h", "d", "s", "m"):
-                asks[name] = own[name]
-            asks["n"] = np.minimum(several, 2**32 - 1)
-            rows += [(ASKS, k, p) for k, p in _by_block(asks, block_of(asks["d"], blocks))]
-        return pa.Table.from_batches([_frame(rows)])
+def _chunks(size: np.ndarray):
+    """(from, to) of stretches of SEGMENT bytes in all, or of one item."""
+    begin, total = 0, np.cumsum(size)
+    while begin < len(size):
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + SEGMENT, side="right")))
+        yield begin, end
+        begin = end
 
-    return run
 
+def digests(data: np.ndarray, at: np.ndarray, size: np.ndarray, powers: Powers) -> np.ndarray:
+    """Digests of the size bytes at each place."""
+    out = np.empty(len(at), np.uint64)
+    for a, b in _chunks(size):
+        n = size[a:b]
+        end = np.cumsum(n)
+        out[a:b] = Digests(_cut(data, at[a:b], n), powers)(end - n, end)
+    return out
 
-def _laid_out(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of the texts end to end, the documents in ascending order, and where each begins."""
-    docs = table.column("uid").to_numpy()
-    unpack = zstandard.ZstdDecompressor().decompress
-    data = [unpack(x) for x in table.column("data").to_pylist()]
-    sizes = np.fromiter(map(len, data), np.int64, len(data))
-    begin = np.cumsum(sizes) - sizes
-    order = np.argsort(docs, kind="stable")
-    return np.frombuffer(b"".join(data), np.uint8), docs[order], begin[order]
 
+def equal_runs(words: np.ndarray, h: np.ndarray, m: np.ndarray, digest: np.ndarray, at: np.ndarray, when: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the runs, and which of them (in that order) have the same bytes as the one before, which is earlier."""
+    order = np.lexsort((when, digest, m, h))
+    h, m, digest, at = h[order], m[order], digest[order], at[order]
+    same = np.zeros(len(order), bool)
+    which = np.flatnonzero((h[1:] == h[:-1]) & (m[1:] == m[:-1]) & (digest[1:] == digest[:-1])) + 1
+    same[which] = _same(words, at[which - 1], at[which], m[which].astype(np.int64) + WINDOW - 1)
+    return order, same
 
-def _cut(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    after = np.cumsum(size)
-    return data[np.repeat(at - (after - size), size) + np.arange(int(size.sum()))]
 
+class Block:
+    """A block's texts end to end, in the order of their ids."""
 
-def _read_bytes(buckets: int, hot: int):
-    """Per block of documents: the bytes that were asked for, sent on by anchor."""
-
-    def run(texts: pa.Table, messages: pa.Table) -> pa.Table:
-        asks = _read(messages, ASKS, ASK)
-        if not len(asks) or not texts.num_rows:
-            return pa.Table.from_batches([_frame([])])
-        data, docs, begin = _laid_out(texts)
-        at = begin[np.searchsorted(docs, asks["d"])] + asks["s"]
-        count = asks["m"].astype(np.int64)
-        key = asks["h"].copy()
-        many = asks["n"] > hot
-        if many.any():  # each string by itself, dealt by its first bytes; neighbours with the same bucket stay together
-            which = np.flatnonzero(many)
-            inner = np.arange(int(count[which].sum())) - np.repeat(np.cumsum(count[which]) - count[which], count[which])
-            owner = np.repeat(which, count[which])
-            where = at[owner] + inner
-            powers = np.array([pow(_BASE, PREFIX - 1 - k, 1 << 64) for k in range(PREFIX)], np.uint64)
-            prefix = np.zeros(len(where), np.uint64)
-            for k in range(PREFIX):
-                prefix += _CODE[data[where + k]] * powers[k]
-            ways = np.minimum(asks["n"][owner] // hot + 1, 1 << 20).astype(np.uint64)
-            dealt = _mix(asks["h"][owner] + _mix(prefix) % ways)
-            cold = ~many
-            new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (dealt[1:] != dealt[:-1])])
-            first = np.flatnonzero(new)
-            piece = np.empty(int(cold.sum()) + len(first), ASK)
-            piece[: int(cold.sum())] = asks[cold]
-            tail = piece[int(cold.sum()) :]
-            tail["h"], tail["d"], tail["s"] = dealt[first], asks["d"][owner[first]], asks["s"][owner[first]] + inner[first]
-            tail["m"] = np.diff(np.append(first, len(owner)))
-            at = np.concatenate([at[cold], where[first]])
-            asks, count, key = piece, piece["m"].astype(np.int64), piece["h"]
-        mixed = _mix(key)
-        bucket, part = (mixed % np.uint64(buckets)).astype(np.int64), (mixed >> np.uint64(48)).astype(np.uint16)
+    def __init__(self, table: pa.Table) -> None:
+        docs = table.column("uid").to_numpy()
+        order = np.argsort(docs, kind="stable")
+        unpack = zstandard.ZstdDecompressor().decompress
+        parts = table.column("data").take(pa.array(order)).to_pylist()
+        data = [unpack(x) for x in parts]
+        self.docs = docs[order]
+        self.size = np.fromiter(map(len, data), np.int64, len(data))
+        self.end = np.cumsum(self.size)
+        self.begin = self.end - self.size
+        self.data = np.frombuffer(b"".join(data), np.uint8)
+
+    def runs(self, powers: Powers, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, numbers of strings, anchors' hashes and digests of the runs, of the anchors wanted (ascending) alone."""
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))]
+        for low in range(0, max(len(self.data) - WINDOW + 1, 0), SEGMENT):
+            data = self.data[low : low + SEGMENT + WINDOW - 1]
+            first, last = np.searchsorted(self.end, [low, low + len(data) - 1], side="right")
+            ends = self.end[first : last + 1] - low
+            room = np.repeat(ends, np.diff(np.minimum(ends, len(data)), prepend=0)) - np.arange(len(data))
+            start, count, h = runs(data, room, powers)
+            if wanted is not None:
+                near = np.minimum(np.searchsorted(wanted, h), max(len(wanted) - 1, 0))
+                hit = wanted[near] == h if len(wanted) else np.zeros(len(h), bool)
+                start, count, h = start[hit], count[hit], h[hit]
+            out.append((start + low, count, h, Digests(data, powers)(start, start + count + WINDOW - 1)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+    def places(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The documents and the offsets of places."""
+        owner = np.searchsorted(self.end, at, side="right")
+        return self.docs[owner], at - self.begin[owner]
+
+    def ranges(self, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+        out = np.empty(len(at), RANGE)
+        out["d"], out["s"] = self.places(at)
+        out["e"] = out["s"] + m.astype(np.uint32) + np.uint32(WINDOW - 1)
+        return merged(out)
+
+
+def _powers() -> Powers:
+    return Powers(SEGMENT + 2 * WINDOW)
+
+
+def _name_anchors(blocks: int):
+    """Per block: its anchors. Those of one run by themselves, the others with the number of their different runs."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table) -> pa.Table:
+        _, m, h, digest = Block(texts).runs(_powers())
+        order = np.lexsort((digest, m, h))
+        h, m, digest = h[order], m[order], digest[order]
+        new = np.ones(len(h), bool)
+        new[1:] = h[1:] != h[:-1]
+        unlike = new.copy()
+        unlike[1:] |= (m[1:] != m[:-1]) | (digest[1:] != digest[:-1])
+        first = np.flatnonzero(new)
+        count = np.diff(np.append(first, len(h)))
+        out = np.empty(len(first), REPLY)
+        out["h"] = h[first]
+        out["n"] = np.where(count == 1, 0, np.add.reduceat(unlike, first) if len(first) else 0)
+        bucket = (out["h"] % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        asks, at, count, bucket, part = asks[order], at[order], count[order], bucket[order], part[order]
+        out, bucket = out[order], bucket[order]
+        at = np.searchsorted(bucket, np.arange(blocks + 1))
         rows = []
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        for a, b in zip(first, np.append(first, len(bucket))[1:], strict=True):
-            head = np.empty(b - a, PIECE)
-            head["d"], head["s"], head["m"] = asks["d"][a:b], asks["s"][a:b], asks["m"][a:b]
-            head["n"], head["k"] = count[a:b] + WINDOW - 1, part[a:b]
-            rows.append((PIECES, int(bucket[a]), np.int64(b - a).tobytes() + head.tobytes() + _cut(data, at[a:b], head["n"].astype(np.int64)).tobytes()))
-        return pa.Table.from_batches([_frame(rows)])
+        for k in np.flatnonzero(np.diff(at)).tolist():
+            mine = out[at[k] : at[k + 1]]
+            once = mine["h"][mine["n"] == 0]
+            rows.append((ANCHORS, k, key[0].as_py(), np.int64(len(once)).tobytes() + once.tobytes() + mine[mine["n"] > 0].tobytes()))
+        return _frame(rows)
+
+    return run
+
+
+def _meet_anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Per bucket of anchors: to each block, those of its anchors that have two runs or more, and the number of different ones."""
+    hs, ns, sources = [], [], []
+    for source, payload in _read(table, ANCHORS):
+        n = int(np.frombuffer(payload[:8], np.int64)[0])
+        several = np.frombuffer(payload[8 + 8 * n :], REPLY)
+        hs += [np.frombuffer(payload[8 : 8 + 8 * n], np.uint64), several["h"]]
+        ns += [np.zeros(n, np.uint32), several["n"]]
+        sources.append(np.full(n + len(several), source, np.int32))
+    if not hs:
+        return _frame([])
+    h, n, source = np.concatenate(hs), np.concatenate(ns), np.concatenate(sources)
+    order = np.argsort(h, kind="stable")
+    h, n, source = h[order], n[order], source[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+    size = np.diff(np.append(first, len(h)))
+    shared = np.repeat((size > 1) | (n[first] > 0), size)
+    out = np.empty(int(shared.sum()), REPLY)
+    out["h"] = h[shared]
+    out["n"] = np.minimum(np.repeat(np.add.reduceat(np.maximum(n, 1).astype(np.int64), first), size)[shared], 2**32 - 1)
+    return _frame([(REPLIES, k, 0, p) for k, p in _by_bucket(out, source[shared].astype(np.int64))])
+
+
+def _send_pieces(buckets: int, hot: int):
+    """Per block: the bytes of the runs whose anchors are shared, to the anchors' buckets; equal runs go once."""
+
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, replies: pa.Table) -> pa.Table:
+        told = _as(REPLY, _read(replies, REPLIES))
+        if not len(told) or not texts.num_rows:
+            return _frame([])
+        told = told[np.argsort(told["h"])]
+        powers, block = _powers(), Block(texts)
+        at, m, h, digest = block.runs(powers, told["h"])
+        words = _words(block.data)
+        order, same = equal_runs(words, h, m, digest, at, at)
+        ranges = [block.ranges(at[order[same]], m[order[same]])]
+        order = order[~same]
+        at, m, h = at[order], m[order], h[order]
+        n = told["n"][np.searchsorted(told["h"], h)].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])[: len(h)])
+        here = np.diff(np.append(first, len(h)))
+        alone = (n == 1) & (np.repeat(here, here) == 1)  # all its runs were in this block, and equal
+        many = (n > hot) & ~alone
+        if many.any():  # each string by itself, dealt by all its bytes
+            inner = np.arange(int(m[many].sum())) - np.repeat(np.cumsum(m[many]) - m[many], m[many])
+            where = np.repeat(at[many], m[many]) + inner
+            ways = np.repeat(n[many] * (WINDOW - GRAM) // hot + 1, m[many]).astype(np.uint64)
+            whole = digests(block.data, where, np.full(len(where), WINDOW), powers)
+            dealt = _mix(np.repeat(h[many], m[many]) + whole % ways)
+            one = np.ones(len(where), np.int64)
+            order, same = equal_runs(words, dealt, one, whole, where, where)
+            ranges.append(block.ranges(where[order[same]], one[order[same]]))
+            order = order[~same]
+            rest = ~many & ~alone
+            at, m, h = np.concatenate([at[rest], where[order]]), np.concatenate([m[rest], one[order]]), np.concatenate([h[rest], dealt[order]])
+        else:
+            at, m, h = at[~alone], m[~alone], h[~alone]
+        mixed = _mix(h)
+        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        at, m, bucket, mixed = at[order], m[order], bucket[order], mixed[order]
+        pieces = np.empty(len(at), PIECE)
+        pieces["d"], pieces["s"] = block.places(at)
+        pieces["m"], pieces["k"] = m, mixed >> np.uint64(32)
+        pack = zstandard.ZstdCompressor(level=1).compress
+        own = merged(np.concatenate(ranges))
+        rows = [(RANGES, key[0].as_py() % buckets, key[0].as_py(), own.tobytes())] if len(own) else []
+        bounds = np.searchsorted(bucket, np.arange(buckets + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            a, b = bounds[k], bounds[k + 1]
+            rows.append((PIECES, k, 0, pack(np.int64(b - a).tobytes() + pieces[a:b].tobytes() + _cut(block.data, at[a:b], m[a:b] + WINDOW - 1).tobytes())))
+        return _frame(rows)
 
-    return lambda key, texts, messages: run(texts, messages)
+    return run
 
 
 @pandas_udf(T.BinaryType())
 def squeezed(column: pd.Series) -> pd.Series:
-    """Texts as compressed bytes: they cross two shuffles, where their size is what counts."""
+    """Texts as compressed bytes: they cross a shuffle and a checkpoint, where their size is what counts."""
     pack = zstandard.ZstdCompressor(level=3).compress
     return column.map(lambda t: pack(t.encode()))
 
@@ -340,53 +429,72 @@ def suffix_order(text: np.ndarray, cover: int = 1, need: int = WINDOW) -> np.nda
     return out
 
 
-def repeated(data: np.ndarray, pieces: np.ndarray) -> np.ndarray:
-    """Ranges of the strings in pieces (laid end to end in data) that also start earlier."""
-    size = pieces["n"].astype(np.int64)
+def repeated(data: np.ndarray, pieces: np.ndarray, when: np.ndarray) -> np.ndarray:
+    """Ranges of the strings in pieces (laid end to end in data; when: their order) that also start earlier."""
+    size = pieces["m"].astype(np.int64) + WINDOW - 1
     begin = np.cumsum(size) - size
     order = suffix_order(data.astype(np.int64) + 1)
     owner = np.repeat(np.arange(len(pieces)), size)[order]
     inner = order - begin[owner]
     valid = inner < pieces["m"][owner]
     order, owner, inner = order[valid], owner[valid], inner[valid]
-    words = np.zeros(len(data), np.uint64)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    for k in range(8):
-        words = (words << np.uint64(8)) | padded[k : k + len(data)]
-    same = np.ones(max(len(order) - 1, 0), bool)
-    for k in [*range(0, WINDOW - 7, 8), WINDOW - 8]:
-        w = words[order + k]
-        same &= w[1:] == w[:-1]
-    rank = np.empty(len(pieces), np.int64)
-    rank[np.lexsort((pieces["s"], pieces["d"]))] = np.arange(len(pieces))
-    when = rank[owner] * 256 + inner  # strings of a piece are neighbours, pieces of a document never share a string
-    first = np.flatnonzero(np.concatenate([[True], ~same]))[: len(order)]
-    later = when > np.repeat(np.minimum.reduceat(when, first), np.diff(np.append(first, len(order)))) if len(order) else np.zeros(0, bool)
+    if not len(order):
+        return np.zeros(0, RANGE)
+    same = _same(_words(data), order[:-1], order[1:], np.full(len(order) - 1, WINDOW))
+    place = when[owner] * 256 + inner  # strings of a piece are neighbours, pieces of a document never share a string
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    later = place > np.repeat(np.minimum.reduceat(place, first), np.diff(np.append(first, len(order))))
     out = np.empty(int(later.sum()), RANGE)
     out["d"], out["s"] = pieces["d"][owner[later]], pieces["s"][owner[later]] + inner[later]
     out["e"] = out["s"] + np.uint32(WINDOW)
     return merged(out)
 
 
+def repeats(data: np.ndarray, pieces: np.ndarray, powers: Powers) -> np.ndarray:
+    """Ranges of the strings in pieces, of any anchors, that also start earlier: equal runs first, then the strings of the others."""
+    size = pieces["m"].astype(np.int64) + WINDOW - 1
+    begin = np.cumsum(size) - size
+    when = np.empty(len(pieces), np.int64)
+    when[np.lexsort((pieces["s"], pieces["d"]))] = np.arange(len(pieces))
+    order, same = equal_runs(_words(data), pieces["k"], pieces["m"], digests(data, begin, size, powers), begin, when)
+    copies = pieces[order[same]]
+    found = np.empty(len(copies), RANGE)
+    found["d"], found["s"], found["e"] = copies["d"], copies["s"], copies["s"] + copies["m"] + np.uint32(WINDOW - 1)
+    out = [found]
+    order = order[~same]
+    key = pieces["k"][order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    count = np.diff(np.append(first, len(key)))
+    several = np.repeat(count > 1, count)
+    order, key = order[several], key[several]
+    # whole anchors, SORTED bytes at a time
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+    total = np.concatenate([[0], np.cumsum(size[order])])
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(total[starts], total[starts[a]] + SORTED, side="right")) - 1)
+        mine = order[starts[a] : starts[b] if b < len(starts) else len(order)]
+        out.append(repeated(_cut(data, begin[mine], size[mine]), pieces[mine], when[mine]))
+        a = b
+    return merged(np.concatenate(out))
+
+
 def _sort_strings(blocks: int):
-    def run(table: pa.Table) -> pa.Table:
+    """Per bucket of anchors: the repeats' ranges, back to the texts' blocks."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         heads, bodies = [], []
-        for payload in table.column("payload").to_pylist():
+        unpack = zstandard.ZstdDecompressor().decompress
+        for _, packed in _read(table, PIECES):
+            payload = unpack(packed)
             n = int(np.frombuffer(payload[:8], np.int64)[0])
             heads.append(np.frombuffer(payload[8 : 8 + n * PIECE.itemsize], PIECE))
             bodies.append(payload[8 + n * PIECE.itemsize :])
-        if not heads:
-            return pa.Table.from_batches([_frame([])])
-        data, pieces = np.frombuffer(b"".join(bodies), np.uint8), np.concatenate(heads)
-        size = pieces["n"].astype(np.int64)
-        begin = np.cumsum(size) - size
-        share = pieces["k"] % (len(data) // SORTED + 1)  # an anchor's runs have the same k
-        found = []
-        for k in np.unique(share):
-            mine = share == k
-            found.append(repeated(_cut(data, begin[mine], size[mine]), pieces[mine]))
-        ranges = merged(np.concatenate(found))
-        return pa.Table.from_batches([_frame([(RANGES, k, p) for k, p in _by_block(ranges, block_of(ranges["d"], blocks))])])
+        rows = [(RANGES, s, 0, p) for s, p in _read(table, RANGES)]  # found in a block already
+        if heads:
+            found = repeats(np.frombuffer(b"".join(bodies), np.uint8), np.concatenate(heads), _powers())
+            rows += [(RANGES, k, 0, p) for k, p in _by_bucket(found, block_of(found["d"], blocks))]
+        return _frame(rows)
 
     return run
 
@@ -403,8 +511,8 @@ def _whole(data: bytes, start: int, end: int) -> tuple[int, int]:
 def _remove(names: list[str], keep_text: bool):
     """Per block of documents: what is left of each text."""
 
-    def run(key, texts: pa.Table, messages: pa.Table) -> pa.Table:
-        ranges = merged(_read(messages, RANGES, RANGE))
+    def run(key: tuple[pa.Scalar, ...], texts: pa.Table, messages: pa.Table) -> pa.Table:
+        ranges = merged(_as(RANGE, _read(messages, RANGES)))
         docs = texts.column("uid").to_numpy()
         a, b = (np.searchsorted(ranges["d"], docs, side=s) for s in ("left", "right"))
         starts, ends = ranges["s"].tolist(), ranges["e"].tolist()
@@ -438,29 +546,26 @@ def _remove(names: list[str], keep_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: row (the columns of docs, as a struct), n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes and,
-    if keep_text, left: the text without the whole characters that were removed."""
+    if keep_text, the text without the whole characters that were removed, in row."""
     spark = docs.sparkSession
-    n = 4 * partitions(spark)
-    rows = docs.select(docs[doc_id].cast("bigint").alias("uid"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    odd = rows.groupBy("uid").count().where("count > 1 or uid is null")
-    if not odd.isEmpty():
-        rows = checkpoint(rows.orderBy(F.asc_nulls_first("uid"), "text").withColumn("uid", F.monotonically_increasing_id()))
-    others = [F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]
+    rows, uid = own_ids(docs, doc_id, text)
+    total = docs.agg(F.sum(F.octet_length(docs[text].cast("string")))).first()[0] or 0
+    n = max(4 * partitions(spark), total // block_bytes + 1)
     names = [f"c{k}" for k, c in enumerate(docs.columns) if c != text]
-    flat = rows.select("uid", "text", *others)
-    block = F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("block")
-
-    sent = flat.select("uid", "text").mapInArrow(_send_runs(n, n), MESSAGES)
-    met = checkpoint(sent.groupBy("bucket").applyInArrow(_meet_runs(n), MESSAGES))
-    texts = flat.select("uid", squeezed("text").alias("data"), block)
-    asked = met.where(F.col("kind") == ASKS)
-    pieces = texts.groupBy("block").cogroup(asked.groupBy("bucket")).applyInArrow(_read_bytes(n, hot), MESSAGES)
-    sorted_ = checkpoint(pieces.groupBy("bucket").applyInArrow(_sort_strings(n), MESSAGES))
-    ranges = met.where(F.col("kind") == RANGES).unionByName(sorted_)
+    others = [rows[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]
+    flat = rows.select(rows[uid].cast("bigint").alias("uid"), F.coalesce(rows[text].cast("string"), F.lit("")).alias("text"), *others)
+    dealt = flat.select("uid", squeezed("text").alias("data"), *names, F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("block"))
+    texts = checkpoint(dealt.repartition(partitions(spark), "block").sortWithinPartitions("block"))
+
+    plain = texts.select("uid", "data", "block")
+    anchors = plain.groupBy("block").applyInArrow(_name_anchors(n), MESSAGES)
+    replies = checkpoint(anchors.groupBy("bucket").applyInArrow(_meet_anchors, MESSAGES))
+    pieces = plain.groupBy("block").cogroup(replies.groupBy("bucket")).applyInArrow(_send_pieces(n, hot), MESSAGES)
+    ranges = checkpoint(pieces.groupBy("bucket").applyInArrow(_sort_strings(n), MESSAGES))
     schema = T.StructType([*[T.StructField(c, flat.schema[c].dataType) for c in names], *[T.StructField(c, T.LongType()) for c in ("_n_bytes", "_n_removed", "_n_spans")], T.StructField("_sha", T.StringType()), *[T.StructField("_left", T.StringType())] * keep_text])
-    done = flat.select("uid", squeezed("text").alias("data"), *names, block).groupBy("block").cogroup(ranges.groupBy("bucket")).applyInArrow(_remove(names, keep_text), schema)
+    done = texts.groupBy("block").cogroup(ranges.groupBy("bucket")).applyInArrow(_remove(names, keep_text), schema)
     back = dict(zip([c for c in docs.columns if c != text], names, strict=True))
     fields = [F.col(back[c]).alias(c) if c in back else F.col("_left").alias(c) for c in docs.columns if c in back or keep_text]
     return done.select(F.struct(*fields).alias("row"), F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))

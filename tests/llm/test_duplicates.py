@@ -129,10 +129,57 @@ def test_long_texts_are_cut_anywhere(spark, monkeypatch):
     got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == brute_dedup(docs)
     whole = np.frombuffer(("xyz" * 500).encode(), np.uint8)
-    start, count, _, _ = suffix_dedup.runs(whole, suffix_dedup.Powers(4096))
+    start, count, _ = suffix_dedup.runs(whole, len(whole) - np.arange(len(whole)), suffix_dedup.Powers(4096))
     assert start[0] == 0 and count.sum() == len(whole) - 99
 
 
+def test_runs_stay_inside_texts():
+    random.seed(9)
+    texts = ["".join(random.choice("abc") for _ in range(random.choice([0, 50, 99, 100, 101, 700]))).encode() for _ in range(60)]
+    pack = suffix_dedup.zstandard.ZstdCompressor().compress
+    table = suffix_dedup.pa.table({"uid": list(range(60)), "data": [pack(t) for t in texts]})
+    block = suffix_dedup.Block(table)
+    at, m, h, _ = block.runs(suffix_dedup._powers())
+    doc, offset = block.places(at)
+    starts = {(int(d), int(o) + k) for d, o, n in zip(doc, offset, m) for k in range(n)}  # noqa: B905
+    assert starts == {(d, o) for d, t in enumerate(texts) for o in range(len(t) - 99)} and len(starts) == m.sum()
+    anchor_of = {}
+    for d, o, n, x in zip(doc.tolist(), offset.tolist(), m.tolist(), h.tolist()):  # noqa: B905
+        for k in range(n):
+            assert anchor_of.setdefault(texts[d][o + k : o + k + 100], x) == x
+    some = np.unique(h)[::2]
+    part = block.runs(suffix_dedup._powers(), some)
+    assert (part[0] == at[np.isin(h, some)]).all()
+
+
+def test_digests_decide_nothing():
+    """Two runs whose digests agree are told apart by their bytes."""
+    data = np.frombuffer(b"a" * 150 + b"a" * 149 + b"b" + b"a" * 150, np.uint8)
+    same = np.zeros(3, np.uint64)
+    at = np.array([0, 150, 300])
+    order, again = suffix_dedup.equal_runs(suffix_dedup._words(data), same, np.array([51] * 3), same, at, at)
+    assert order.tolist() == [0, 1, 2] and again.tolist() == [False, False, False]
+    order, again = suffix_dedup.equal_runs(suffix_dedup._words(data), same, np.array([50] * 3), same, at, at)
+    assert again.tolist() == [False, True, True]
+
+
+def test_op2(spark, small):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.op2_suffix_dedup(spark, small).collect()}
+    assert got == brute_dedup(docs)
+
+
+def test_shared_lead_in(spark):
+    """Strings that begin with the same passage meet in groups of bounded size, wherever they differ."""
+    random.seed(10)
+    lead = "licensed under the terms that follow below: "
+    tails = ["".join(random.choice("abcdefgh ") for _ in range(90)) for _ in range(60)]
+    docs = [(k, "".join(random.choice("uvwxyz") for _ in range(30)) + lead + random.choice(tails)) for k in range(150)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, hot=5, block_bytes=500).collect()}
+    assert got == brute_dedup(docs)
+
+
 def test_repeated_ids_and_kept_text(spark):
     random.seed(8)
     text = "".join(random.choice("éabcdefgh") for _ in range(280))
