@@ -6,14 +6,18 @@
 * gives w an arc wherever u had one at that time (what forbids u forbids w, if it was cut at rank k or before),
 * leads w to a copy of v's state as it was before k (what may not follow v may not follow w, if cut before k).
 
-So every token has one state; a state is its own cuts plus a line of ancestors with the rank at which it was
-copied. The automaton is deterministic over tokens and accepts, for every string of bytes, exactly one
-tokenization, the one that the merges make. Encoding a pre-split word therefore walks its bytes once and keeps
-one state per prefix. Arcs are filled into the transition table when first asked for. Decoding emits the arcs'
-labels.
-
-Defined cases: a null or empty text has no tokens and decodes to the empty text; repeated rows are encoded
-each; special tokens' strings inside a text are the special token, as the library has it by default.
+So every token has one state, kept as the gadgets' cuts and a line of copies with their ranks. The automaton is deterministic
+over tokens and accepts, for every string of bytes, exactly one tokenization, the one that the merges make. Its transition
+table has an entry for a state and a token: the state that follows, or none. A dense table would have the square of 50,000
+entries, so an entry is worked out from the gadgets when it is first read and stays in the table from then on.
+
+Encoding a pre-split word runs the table from the start state: the longest token that the table allows is taken, and taken
+back if nothing follows. A prefix has one tokenization, so a place that led nowhere is never tried again, and a word costs at
+most its length in places. Decoding emits the arcs' labels.
+
+Defined cases: a null or empty text has no tokens and decodes to the empty text; repeated rows are encoded each; special
+tokens' strings inside a text are the special token, as the library has it by default; a text of any length is encoded whole,
+in blocks of its own; ties don't arise; columns beside the id and the text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,8 +38,10 @@ from spanloom.llm.common import documents, texts
 from spanloom.llm.token_counts import byte_chars
 
 NEVER = 1 << 40
-#: Distinct words and transitions that a task remembers between blocks.
-REMEMBERED, ARCS = 200_000, 2_000_000
+#: The start state, and what the table holds where there is no arc.
+START, NONE = (1 << 31) - 1, -1
+#: Distinct words and entries of the table that a task keeps between blocks.
+REMEMBERED, ARCS = 300_000, 1_000_000
 
 
 class Automaton:
@@ -61,13 +67,14 @@ class Automaton:
             self.cuts[u, v] = rank
             self.heads[w] = (*((x, min(limit, rank)) for x, limit in self.heads[u]), (w, NEVER))
             self.ways[w] = ((w, NEVER), *((x, min(until, rank)) for x, until in self.ways[v]))
-        self.longest = max(map(len, vocabulary))
-        prefixes = {b[:k] for b, i in vocabulary.items() if i in self.ways for k in range(1, len(b) + 1)}
-        self.trie = {p: vocabulary[p] if self.ways.get(vocabulary.get(p, -1)) else -1 for p in prefixes}
-        self.arcs: dict[int, bool] = {}
+        self.tokens = {b: i for b, i in vocabulary.items() if i in self.ways}
+        self.longest = max(map(len, self.tokens))
+        self.size = {i: len(b) for b, i in self.tokens.items()}
+        # table[state << 32 | token]: the state that the token leads to, or NONE; a token's state has its number
+        self.table: dict[int, int] = {}
         self.words: dict[bytes, tuple[int, ...]] = {}
 
-    def arc(self, a: int, b: int) -> bool:
+    def _arc(self, a: int, b: int) -> bool:
         """Whether token b has an arc from the state that token a leads to."""
         for s, until in self.ways[a]:
             for x, limit in self.heads[b]:
@@ -76,43 +83,49 @@ class Automaton:
                     return False
         return True
 
-    def _walk(self, word: bytes) -> tuple[int, ...]:
-        n, trie, arcs = len(word), self.trie, self.arcs
-        state = [-1] * (n + 1)
-        for i in range(n):
-            before = state[i]
-            if i and before < 0:
-                continue
-            for j in range(i + 1, n + 1):
-                token = trie.get(word[i:j])
-                if token is None:
+    def step(self, state: int, token: int) -> int:
+        """The table's entry: the state that token leads to from state (START or another token's), or NONE."""
+        key = state << 32 | token
+        to = self.table.get(key)
+        if to is None:
+            if len(self.table) > ARCS:
+                self.table.clear()
+            to = self.table[key] = token if state == START or self._arc(state, token) else NONE
+        return to
+
+    def run(self, word: bytes) -> tuple[int, ...]:
+        """The arcs of the path that spells word."""
+        n, tokens, path, at, state = len(word), self.tokens, [], 0, START
+        most = min(n, self.longest)
+        dead = bytearray(n + 1)
+        while at < n:
+            size = min(n - at, most)
+            while True:
+                while size:
+                    if not dead[at + size]:
+                        token = tokens.get(word[at : at + size])
+                        if token is not None and self.step(state, token) >= 0:
+                            break
+                    size -= 1
+                if size:
+                    path.append(token)
+                    state = token
+                    at += size
                     break
-                if token < 0 or state[j] >= 0:
-                    continue
-                if i:
-                    key = before << 20 | token
-                    known = arcs.get(key)
-                    if known is None:
-                        known = arcs[key] = self.arc(before, token)
-                    if not known:
-                        continue
-                state[j] = token
-        out, at = [], n
-        while at:
-            token = state[at]
-            out.append(token)
-            at -= len(self.labels[token])
-        return tuple(reversed(out))
+                dead[at] = 1  # nothing follows: take the last token back and try shorter ones
+                last = self.size[path.pop()]
+                at -= last
+                size = last - 1
+                state = path[-1] if path else START
+        return tuple(path)
 
     def encode_word(self, word: bytes) -> tuple[int, ...]:
         """The ids of one pre-token (or of a special token's string)."""
         ids = self.words.get(word)
         if ids is None:
-            ids = (self.special[word],) if word in self.special else self._walk(word)
+            ids = (self.special[word],) if word in self.special else self.run(word)
             if len(self.words) > REMEMBERED:
                 self.words.clear()
-            if len(self.arcs) > ARCS:
-                self.arcs.clear()
             self.words[word] = ids
         return ids
 

@@ -54,7 +54,7 @@ def test_encode_then_decode(frame):
 def test_arcs_accept_one_tokenization():
     automaton = bpe.compile_merges(public_tokenizers.path(BYTES))
     the, t, he = (automaton.id_of[x] for x in (b"the", b"t", b"he"))
-    assert not automaton.arc(t, he) and automaton.encode_word(b"the") == (the,)
+    assert automaton.step(t, he) == bpe.NONE and automaton.step(bpe.START, the) == the and automaton.encode_word(b"the") == (the,)
 
 
 def test_pieces(frame):
