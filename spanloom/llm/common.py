@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space, as the contracts' word pattern excludes it.
 SPACE = " \t\n\x0b\x0c\r"
@@ -27,10 +26,18 @@ def let(value: Column, body) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder (spark.checkpoint.dir) if it names one, else one of our own, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); where nothing names one, as in tests, one of our own on this machine, which
+    only a local master has executors on."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spanloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="spanloom-")
+        context.setCheckpointDir(folder)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -39,15 +46,29 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_dealt(df: DataFrame, by: str) -> DataFrame:
+    """df dealt out by a column into a checkpoint that keeps the deal, so that grouping by the column moves nothing.
+
+    An adaptive plan doesn't tell how its result is dealt out, so this one plan is a plain one.
+    """
+    spark, key = df.sparkSession, "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return checkpoint(df.repartition(partitions(spark), by).sortWithinPartitions(by))
+    finally:
+        spark.conf.set(key, before)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def own_ids(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
-    """docs and the name of a column that tells its rows apart: the id, or, where ids repeat or are null, a new last column (by
-    id, null first, then text; checkpointed, so that it stays the same)."""
-    odd = docs.groupBy(docs[doc_id].alias("k")).count().where("count > 1 or k is null")
-    if odd.isEmpty():
+    """docs and the name of a column that tells its rows apart: the id, or, where ids repeat, are null or no whole numbers, a new
+    last column (by id, null first, then text; checkpointed, so that it stays the same)."""
+    whole = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    if whole and docs.groupBy(docs[doc_id].alias("k")).count().where("count > 1 or k is null").isEmpty():
         return docs, doc_id
     uid = "_uid"
     while uid.lower() in [c.lower() for c in docs.columns]:

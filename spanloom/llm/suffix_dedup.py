@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
-from spanloom.llm.common import checkpoint, documents, own_ids, partitions
+from spanloom.llm.common import checkpoint, checkpoint_dealt, documents, own_ids, partitions
 
 WINDOW = 100
 GRAM = 24
@@ -557,7 +557,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
     others = [rows[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]
     flat = rows.select(rows[uid].cast("bigint").alias("uid"), F.coalesce(rows[text].cast("string"), F.lit("")).alias("text"), *others)
     dealt = flat.select("uid", squeezed("text").alias("data"), *names, F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("block"))
-    texts = checkpoint(dealt.repartition(partitions(spark), "block").sortWithinPartitions("block"))
+    texts = checkpoint_dealt(dealt, "block")
 
     plain = texts.select("uid", "data", "block")
     anchors = plain.groupBy("block").applyInArrow(_name_anchors(n), MESSAGES)
