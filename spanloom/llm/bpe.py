@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
 from spanloom.llm import pretokens
-from spanloom.llm.common import documents, texts
+from spanloom.llm.common import documents, texts, typed
 from spanloom.llm.token_counts import byte_chars
 
 NEVER = 1 << 40
@@ -175,7 +175,8 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
                     decoded.append(hashlib.sha256(b"".join([spelled[c] for c in codes]).decode("utf-8", "replace").encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(tokens), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return texts(docs, doc_id, text).mapInArrow(run, SCHEMA)
+    plain = texts(docs, doc_id, text)
+    return plain.mapInArrow(run, typed(SCHEMA, plain))
 
 
 def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,7 +191,8 @@ def encoded(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
                 ids = [[i for c in block.codes[x:y].tolist() for i in words[c]] for x, y in zip(block.first[:-1], block.first[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return texts(docs, doc_id, text).mapInArrow(run, "doc_id bigint, ids array<int>")
+    plain = texts(docs, doc_id, text)
+    return plain.mapInArrow(run, typed("doc_id bigint, ids array<int>", plain))
 
 
 def decoded(frame: DataFrame, path: str, ids: str = "ids", to: str = "text") -> DataFrame:

@@ -25,6 +25,11 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def typed(schema: str, frame: DataFrame) -> str:
+    """schema with the type that frame's doc_id has."""
+    return schema.replace("doc_id bigint", f"doc_id {frame.schema['doc_id'].dataType.simpleString()}", 1)
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
     """The cluster's shared folder (spark.checkpoint.dir); where nothing names one, as in tests, one of our own on this machine, which
     only a local master has executors on."""
@@ -32,7 +37,7 @@ def checkpoint_dir(spark: SparkSession) -> None:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local["):
+            if context.master.split("[")[0] != "local":
                 raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
             import tempfile
 

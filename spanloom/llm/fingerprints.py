@@ -6,8 +6,9 @@ the chunks' digests with their lengths, written as sorted hexadecimal; the liken
 bytes whose chunks b has too (containment).
 
 Defined cases: a null text is empty; the empty text has the empty fingerprint, which is like the empty one only; equal
-texts have equal fingerprints; rows follow each other by (doc_id, text), nulls first, so repeated ids have an order too;
-a single row is its own successor; an empty table gives no rows.
+texts have equal fingerprints; rows follow each other by (doc_id, text), nulls first, so repeated ids have an order too (equal
+rows an arbitrary one), and an id that very many rows share is split over ranges like any other rows; a single row is its own
+successor; a text of any length is chunked whole; columns beside the id and the text are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from spanloom.llm.common import documents, partitions, texts
+from spanloom.llm.common import documents, own_ids, partitions, texts, typed
 from spanloom.llm.suffix_dedup import _CODE as CODE
 from spanloom.llm.suffix_dedup import Powers, _mix
 
@@ -115,7 +116,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 found = [written(x) for x in fingerprint_arrays(values[a:b])]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(found, pa.string())], ["doc_id", "fingerprint"])
 
-    return texts(docs, doc_id, text).mapInArrow(run, "doc_id bigint, fingerprint string")
+    plain = texts(docs, doc_id, text)
+    return plain.mapInArrow(run, typed("doc_id bigint, fingerprint string", plain))
 
 
 def _blocks(values: list[str]):
@@ -130,14 +132,13 @@ def _blocks(values: list[str]):
 
 
 def with_successors(docs: DataFrame) -> DataFrame:
-    """bucket, tail, doc_id, text in the order of doc_id within each partition: a bucket is a range of ids, and its last
-    row (tail = 1) is a copy of the next range's first; after the last range comes the first.
+    """bucket, tail, doc_id, text in the order of uid (whole numbers that tell the rows apart) within each partition: a bucket is a
+    range of uid, and its last row (tail = 1) is a copy of the next range's first; after the last range comes the first.
 
     Only the ranges' bounds and least ids, a row per range, reach the driver.
     """
     n = 4 * partitions(docs.sparkSession)
-    lowest = -(2**63)
-    ids = docs.select(F.coalesce("doc_id", F.lit(lowest).cast("bigint")).alias("id"))
+    ids = docs.select(F.col("uid").alias("id"))
     shares = F.array(*[F.lit(k / n) for k in range(1, n)])
     bounds = np.array(sorted(set(ids.agg(F.percentile_approx("id", shares, F.lit(max(10_000, 20 * n)))).first()[0] or [])), np.int64)
 
@@ -154,14 +155,15 @@ def with_successors(docs: DataFrame) -> DataFrame:
         own = np.searchsorted(bounds, column.to_numpy(np.int64), side="right")
         return pd.Series([[b, before[i]] if i in before else [b] for b, i in zip(own.tolist(), column.tolist(), strict=True)])
 
-    placed = docs.withColumn("places", places(F.coalesce("doc_id", F.lit(lowest).cast("bigint")))).select(F.posexplode("places").alias("tail", "bucket"), "doc_id", "text")
-    return placed.select("bucket", "tail", "doc_id", "text").repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "tail", F.asc_nulls_first("doc_id"), "text")
+    placed = docs.withColumn("places", places("uid")).select(F.posexplode("places").alias("tail", "bucket"), "uid", "doc_id", "text")
+    dealt = placed.repartition(partitions(docs.sparkSession), "bucket").sortWithinPartitions("bucket", "tail", "uid")
+    return dealt.select("bucket", "tail", "doc_id", "text")
 
 
 SCHEMA = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared(rows: list[tuple]) -> pa.RecordBatch:
+def _compared(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
     """rows: doc_id, text, the next document's text."""
     mine = [r[1] for r in rows]
     edited = [t[: len(t) - len(t) // 2] + x[: len(t) // 2] for _, t, x in rows]
@@ -172,7 +174,7 @@ def _compared(rows: list[tuple]) -> pa.RecordBatch:
     for k, x in zip(strange, found[2 * n :], strict=True):
         following[k] = x
     columns = [
-        pa.array([r[0] for r in rows], pa.int64()),
+        pa.array([r[0] for r in rows], kind),
         pa.array([len(t) for t in mine], pa.int64()),
         pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]),
         pa.array([written(x) for x in own]),
@@ -188,21 +190,24 @@ def compare_successors(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     def run(batches):
         last, rows, size = None, [], 0  # last: bucket, doc_id, text of a row that waits for its successor
+        kind = None
         for batch in batches:
+            kind = batch.column("doc_id").type
             for bucket, tail, key, value in zip(*(batch.column(c).to_pylist() for c in ("bucket", "tail", "doc_id", "text")), strict=True):
                 if last is not None and last[0] == bucket:
                     rows.append((last[1], last[2], value))
                     size += 2 * len(last[2])
                     last = None
                     if size > BLOCK_BYTES:
-                        yield _compared(rows)
+                        yield _compared(rows, kind)
                         rows, size = [], 0
                 if not tail:
                     last = (bucket, key, value)
         if rows:
-            yield _compared(rows)
+            yield _compared(rows, kind)
 
-    return with_successors(texts(docs, doc_id, text)).mapInArrow(run, SCHEMA)
+    rows, uid = own_ids(texts(docs, doc_id, text), "doc_id", "text")
+    return with_successors(rows.select(F.col(uid).cast("bigint").alias("uid"), "doc_id", "text")).mapInArrow(run, typed(SCHEMA, rows))
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import pretokens
-from spanloom.llm.common import documents, texts
+from spanloom.llm.common import documents, texts, typed
 from spanloom.llm.token_counts import byte_chars
 
 CAPACITY = 2048
@@ -160,7 +160,7 @@ def _ids(path: str) -> Ids:
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def _pieces(doc_ids: list, ids: list[np.ndarray], first_sequence: int) -> tuple[pa.RecordBatch, int]:
+def _pieces(doc_ids: list, kind: pa.DataType, ids: list[np.ndarray], first_sequence: int) -> tuple[pa.RecordBatch, int]:
     rows, sequence = [], first_sequence
     for row in windows([len(x) for x in ids]):
         offset = 0
@@ -169,7 +169,7 @@ def _pieces(doc_ids: list, ids: list[np.ndarray], first_sequence: int) -> tuple[
             offset += length
         sequence += 1
     names = [x.split(" ")[0] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names), sequence
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else kind) for k, c in enumerate(zip(*rows, strict=True))], names), sequence
 
 
 def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END_ID) -> DataFrame:
@@ -180,20 +180,21 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
         sequence = TaskContext.get().partitionId() << 40
         doc_ids, ids, held = [], [], 0
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
+            keys, kind = batch.column("doc_id").to_pylist(), batch.column("doc_id").type
             for a, b, block in pretokens.blocks(batch.column("text").to_pylist(), spaced=True, special=tuple(encoder.special)):
                 found = encoder.of_block(block, end)
                 doc_ids += keys[a:b]
                 ids += found
                 held += sum(map(len, found))
                 if held >= GROUP_TOKENS:
-                    out, sequence = _pieces(doc_ids, ids, sequence)
+                    out, sequence = _pieces(doc_ids, kind, ids, sequence)
                     yield out
                     doc_ids, ids, held = [], [], 0
         if ids:
-            yield _pieces(doc_ids, ids, sequence)[0]
+            yield _pieces(doc_ids, kind, ids, sequence)[0]
 
-    return texts(docs, doc_id, text).mapInArrow(run, SCHEMA)
+    plain = texts(docs, doc_id, text)
+    return plain.mapInArrow(run, typed(SCHEMA, plain))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

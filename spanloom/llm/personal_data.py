@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import documents
+from spanloom.llm.common import documents, texts, typed
 
 KINDS = ("email", "ip", "card", "phone", "name")
 
@@ -339,7 +339,8 @@ def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(spans)), pa.array(rows, kind)], ["doc_id", "spans"])
 
-    return docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id bigint, spans array<struct<start:int,kind:string,end:int>>")
+    plain = texts(docs, doc_id, text)
+    return plain.mapInArrow(run, typed("doc_id bigint, spans array<struct<start:int,kind:string,end:int>>", plain))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -386,4 +387,5 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                 sha = pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, len(base)), *counts, sha, pa.array([joined(x) for x in spans], pa.string())], [c.split(" ")[0] for c in SCHEMA.split(", ")])
 
-    return documents(spark, sf_dir).select("doc_id", F.col("text")).mapInArrow(run, SCHEMA)
+    plain = texts(documents(spark, sf_dir))
+    return plain.mapInArrow(run, typed(SCHEMA, plain))

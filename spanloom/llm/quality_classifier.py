@@ -1,14 +1,17 @@
 """Quality classifier from weak labels.
 
-Overlapping heuristic labellers vote good (1), bad (-1) or nothing (0) on each text. Their accuracies (how often a vote is
-right; silence says nothing) are estimated by expectation-maximisation over the patterns of votes of the whole corpus (a row
-per pattern, at most 3 ** len(LABELLERS), reaches the driver); no human label is read. The posteriors of SAMPLE documents, those with the least
-hashes of their ids, then train a linear scorer over hashed word features, which scores every text.
-
-Parameters that bound the fit: SAMPLE documents, 2 ** BITS features. Statistics of votes cover all documents.
-
-Defined cases: a null or empty text has no words, so only the length labeller votes, and its score is the bias; an empty
-table gives no rows; repeated rows are scored each.
+Overlapping heuristic labellers vote good (1), bad (-1) or nothing (0) on each text. Expectation-maximisation estimates the share
+of good texts and, for either class, how often each labeller says what (its accuracies) from the patterns of votes of the whole
+corpus (a row per pattern, at most 3 ** len(LABELLERS), reaches the driver); no human label is read. The posteriors of SAMPLE
+documents, those with the least hashes, then train a linear scorer over hashed word features, which scores every text.
+
+Parameters that bound the fit: SAMPLE documents (equal rows count once), the HEAVIEST features of each, 2 ** BITS features in
+all. Votes are counted over all documents, and the sample is drawn in the same pass.
+
+Defined cases: a null or empty text has no words, so only the first labeller votes, and its score is the bias; texts of fewer
+than eight words are judged by no labeller and their posterior is the share of good texts; an empty table gives no rows;
+repeated rows are scored each (ids play no part but to tell rows of the sample apart); null ids are kept; a text of any length
+is read whole; columns beside the id and the text are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +24,10 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import documents, texts
+from spanloom.llm.common import checkpoint, documents, texts, typed
 
-#: Documents whose posteriors train the scorer.
-SAMPLE = 3000
+#: Documents whose posteriors train the scorer, and the features of each that take part.
+SAMPLE, HEAVIEST = 3000, 2048
 BITS = 16
 REMEMBERED = 400_000
 BLOCK_CHARS = 2_000_000
@@ -36,10 +39,12 @@ FREQUENT = frozenset(
     "der die das und den von zu mit ist ein eine im dem nicht auch "
     "el los las y del que se una por con para su al lo como".split()
 )
-LABELLERS = ("length", "symbols", "upper case", "exclamations", "sentences", "frequent words", "lines", "word length")
-#: Where the accuracies start, and how much that counts against the votes (as a share of all documents).
-PRIOR_ACCURACY = (0.6, 0.9, 0.9, 0.9, 0.75, 0.75, 0.9, 0.9)
-STRENGTH = 0.02
+LABELLERS = ("no words", "symbols", "upper case", "exclamations", "sentences", "frequent words", "lines", "repeated words")
+#: Where the labellers' rates of bad, nothing and good start for bad and for good texts, the share of good texts, and how much
+#: all that counts against the votes (as a share of all documents).
+START, PRIOR, STRENGTH = ((0.3, 0.6, 0.1), (0.02, 0.68, 0.3)), 0.8, 0.01
+#: Texts of fewer words can't be judged.
+FEW = 8
 SYMBOLS = re.compile(r"[#*$%&|<>]")
 UPPER = re.compile(r"[A-Z]+")
 SENTENCE = re.compile(r"[.!?](?=\s|$)")
@@ -50,26 +55,23 @@ def votes(text: str | None) -> tuple[int, ...]:
     t = text or ""
     words = t.split()
     n = len(words)
-    if not n:
-        return (-1, *[0] * (len(LABELLERS) - 1))
+    if n < FEW:
+        return (0 if n else -1, *[0] * (len(LABELLERS) - 1))
     above = lambda x, bad: -1 if x > bad else 0
-    symbols = len(SYMBOLS.findall(t)) / n
-    chars = sum(map(len, words))
-    upper = sum(map(len, UPPER.findall(t))) / chars
+    again = sum(a == b for a, b in zip(words, words[1:])) / n  # noqa: B905
     ends = len(SENTENCE.findall(t)) / n
     common = sum(w in FREQUENT for w in t.lower().split()) / n
     lines = [x for x in t.split("\n") if x.strip()]
-    again = 1 - len(set(lines)) / len(lines)
-    length = chars / n
+    stutters = again > 0.2  # then words and sentences say nothing
     return (
-        -1 if n < 8 else 0,
-        above(symbols, 0.1),
-        above(upper, 0.3),
+        0,
+        above(len(SYMBOLS.findall(t)) / n, 0.1),
+        above(sum(map(len, UPPER.findall(t))) / sum(map(len, words)), 0.3),
         above(t.count("!") / n, 0.2),
-        1 if 0.03 <= ends <= 0.35 else -1 if ends < 0.01 or ends > 0.6 else 0,
-        1 if common >= 0.1 else -1 if common < 0.02 else 0,
-        above(again, 0.3),
-        -1 if length > 15 or length < 2 else 0,
+        0 if stutters else 1 if 0.03 <= ends <= 0.35 else -1 if ends < 0.01 or ends > 0.6 else 0,
+        0 if stutters else 1 if common >= 0.1 else -1 if common < 0.02 else 0,
+        above(1 - len(set(lines)) / len(lines), 0.3),
+        -1 if stutters else 1 if again < 0.05 else 0,
     )
 
 
@@ -77,48 +79,47 @@ def coded(v: tuple[int, ...]) -> int:
     return sum((x + 1) * 3**k for k, x in enumerate(v))
 
 
-def vote_patterns(docs: DataFrame) -> DataFrame:
-    """pattern (votes in base 3) of each row of docs (doc_id, text)."""
-
-    def run(batches):
-        for batch in batches:
-            found = [coded(votes(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int32())], ["doc_id", "pattern"])
-
-    return docs.mapInArrow(run, "doc_id bigint, pattern int")
+def _votes_of(patterns: np.ndarray) -> np.ndarray:
+    return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
 
 class LabelModel:
-    """prior of good, and each labeller's accuracy."""
+    """prior of good, and rates[class, labeller, vote + 1]: how often a labeller casts a vote on bad (0) and good (1) texts."""
 
-    def __init__(self, prior: float, accuracy: np.ndarray) -> None:
-        self.prior, self.accuracy = prior, accuracy
+    def __init__(self, prior: float, rates: np.ndarray) -> None:
+        self.prior, self.rates = prior, rates
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """The probability of good per pattern."""
-        odds = np.log(self.prior / (1 - self.prior)) + _votes_of(patterns) @ np.log(self.accuracy / (1 - self.accuracy))
+        """The probability of good per pattern; where nobody votes, the prior."""
+        cast = _cast(patterns)
+        odds = np.einsum("pkv,kv->p", cast, np.log(self.rates[1] / self.rates[0])) + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
 
+    def accuracy(self) -> np.ndarray:
+        """Per labeller how often a vote is right."""
+        right = self.prior * self.rates[1][:, 2] + (1 - self.prior) * self.rates[0][:, 0]
+        wrong = self.prior * self.rates[1][:, 0] + (1 - self.prior) * self.rates[0][:, 2]
+        return right / (right + wrong)
 
-def _votes_of(patterns: np.ndarray) -> np.ndarray:
-    return patterns[:, None] // 3 ** np.arange(len(LABELLERS)) % 3 - 1
 
+def _cast(patterns: np.ndarray) -> np.ndarray:
+    found = _votes_of(patterns)
+    return (found[:, :, None] == np.array([-1, 0, 1])) * (found != 0).any(axis=1)[:, None, None].astype(float)
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> LabelModel:
-    """Expectation-maximisation from labellers that are right more often than not; they never come to count as wrong."""
-    model = LabelModel(0.5, np.array(PRIOR_ACCURACY))
+
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> LabelModel:
+    """Expectation-maximisation: posteriors from the prior and the rates, and those again from the posteriors."""
+    start = np.repeat(np.array(START)[:, None, :], len(LABELLERS), axis=1)
+    model = LabelModel(PRIOR, start)
     if not counts.sum():
         return model
-    cast = _votes_of(patterns)
-    trust, share = model.accuracy * STRENGTH, STRENGTH
+    cast, extra = _cast(patterns), STRENGTH * counts.sum()
     for _ in range(rounds):
         good = model.posterior(patterns)
-        right = np.where(cast > 0, good[:, None], np.where(cast < 0, 1 - good[:, None], 0.0)) * counts[:, None]
-        voted = (cast != 0) * counts[:, None]
-        weight = counts.sum() * share
-        accuracy = (right.sum(axis=0) + trust * counts.sum()) / (voted.sum(axis=0) + weight)
-        new = LabelModel(model.prior, np.clip(accuracy, 0.55, 0.995))  # the prior stays even: votes decide
-        done = np.abs(new.accuracy - model.accuracy).max() < 1e-7
+        weight = np.stack([(1 - good) * counts, good * counts])
+        rates = np.einsum("cp,pkv->ckv", weight, cast) + start * extra
+        new = LabelModel((weight[1].sum() + PRIOR * extra) / (counts.sum() + extra), rates / rates.sum(axis=2, keepdims=True))
+        done = np.abs(new.rates - model.rates).max() < 1e-7
         model = new
         if done:
             break
@@ -126,6 +127,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> Lab
 
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: The feature of a word that repeats the one before.
+AGAIN = xxhash.xxh32_intdigest(b"again") & ((1 << BITS) - 1)
 
 
 def features(word: bytes) -> tuple[int, ...]:
@@ -146,7 +149,9 @@ def _words(values: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     array = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
     encoded = array.dictionary_encode()
     size = np.cumsum([0] + [len(v.encode()) + 1 for v in values])
-    return [w.rstrip(b" \t\n\x0b\x0c\r") for w in encoded.dictionary.to_pylist()], encoded.indices.to_numpy(), np.searchsorted(start, size)
+    place: dict[bytes, int] = {}  # a word has different entries by the white space after it
+    known = [place.setdefault(w.rstrip(b" \t\n\x0b\x0c\r"), len(place)) for w in encoded.dictionary.to_pylist()]
+    return list(place), np.array(known, np.int64)[encoded.indices.to_numpy()], np.searchsorted(start, size)
 
 
 def _blocks(values: list[str]):
@@ -160,23 +165,54 @@ def _blocks(values: list[str]):
         yield begin, len(values)
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """doc_id and the mean of the hashed features over the text's words, as arrays of places and values."""
+def text_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of a text's features: the means over its words, and the share of words that repeat the one before."""
+    distinct, codes, _ = _words([text])
+    n = np.bincount(codes, minlength=len(distinct))
+    flat = np.array([features(w) for w in distinct], np.int64).reshape(-1, 3)
+    sums = np.bincount(flat.ravel(), weights=np.repeat(n, 3), minlength=1 << BITS)
+    sums[AGAIN] += (codes[1:] == codes[:-1]).sum()
+    places = np.flatnonzero(sums)
+    if len(places) > HEAVIEST:
+        places = np.sort(places[np.argsort(-sums[places], kind="stable")[:HEAVIEST]])
+    return places.astype(np.int32), (sums[places] / max(len(codes), 1)).astype(np.float32)
+
+
+def survey(docs: DataFrame, sample: int) -> DataFrame:
+    """One pass over docs (doc_id, text): per task a row of each pattern with its number of rows n, and rows with n = 0 that hold
+    the hash h, the pattern and the features of candidates for the sample.
+
+    Candidates are rows whose hash is low enough for twice the sample to be expected (all rows of a small table); equal rows have
+    equal hashes and count once in a task.
+    """
+    total = docs.count()
+    share = min(1.0, 2 * (sample + 50) / max(total, 1))
+    limit = int(share * 2**64) - 2**63
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("h"))
 
     def run(batches):
+        seen: dict[int, int] = {}
+        taken: set[int] = set()
+        names = ["pattern", "n", "h", "at", "value"]
+
+        def table(rows):
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
-            at, value = [], []
-            for t in batch.column("text").to_pylist():
-                distinct, codes, _ = _words([t])
-                n = np.bincount(codes, minlength=len(distinct))
-                flat = np.array([features(w) for w in distinct], np.int64).reshape(-1, 3)
-                sums = np.bincount(flat.ravel(), weights=np.repeat(n, 3), minlength=1)
-                places = np.flatnonzero(sums)
-                at.append(places.astype(np.int32))
-                value.append((sums[places] / max(len(codes), 1)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], ["doc_id", "at", "value"])
+            rows = []
+            for t, h in zip(batch.column("text").to_pylist(), batch.column("h").to_pylist(), strict=True):
+                pattern = coded(votes(t))
+                seen[pattern] = seen.get(pattern, 0) + 1
+                if h < limit and h not in taken and len(taken) < sample:  # more of one task than the whole sample are never needed
+                    taken.add(h)
+                    rows.append((pattern, 0, h, *text_features(t)))
+            if rows:
+                yield table(rows)
+        if seen:
+            yield table([(p, n, None, None, None) for p, n in seen.items()])
 
-    return docs.mapInArrow(run, "doc_id bigint, at array<int>, value array<float>")
+    return hashed.mapInArrow(run, "pattern int, n bigint, h bigint, at array<int>, value array<float>")
 
 
 def fit(rows: list, target: np.ndarray, epochs: int = 60, rate: float = 0.5, decay: float = 1e-4) -> tuple[np.ndarray, float]:
@@ -201,11 +237,10 @@ def fit(rows: list, target: np.ndarray, epochs: int = 60, rate: float = 0.5, dec
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[LabelModel, np.ndarray, float]:
     """The label model from all of docs (doc_id, text), and the scorer from the posteriors of a sample."""
-    counted = vote_patterns(docs).groupBy("pattern").count().collect()
-    model = estimate(np.array([r["pattern"] for r in counted], np.int64), np.array([r["count"] for r in counted], float))
-    ids = [r["doc_id"] for r in docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    chosen = docs.where(F.col("doc_id").isin(ids)) if ids else docs.limit(0)
-    rows = sorted(hashed(chosen).join(vote_patterns(chosen), "doc_id").collect(), key=lambda r: (r["doc_id"], r["pattern"], r["at"]))
+    found = checkpoint(survey(docs, sample))
+    counted = found.where("n > 0").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    model = estimate(np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], float))
+    rows = found.where("n = 0").dropDuplicates(["h"]).orderBy("h").limit(sample).collect()  # bounded by sample and HEAVIEST
     weights, bias = fit(rows, model.posterior(np.array([r["pattern"] for r in rows], np.int64).reshape(-1)))
     return model, weights, bias
 
@@ -228,12 +263,15 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float) -> DataFrame:
                     if x is None:
                         x = known[word] = float(w[list(features(word))].sum())
                     own[k] = x
-                total = np.concatenate([[0], np.cumsum(own[codes])])
+                again = np.zeros(len(codes), bool)
+                again[1:] = codes[1:] == codes[:-1]
+                again[first[:-1][first[:-1] < len(codes)]] = False
+                total = np.concatenate([[0], np.cumsum(own[codes] + float(w[AGAIN]) * again)])
                 n = np.diff(first)
                 mean = (total[first[1:]] - total[first[:-1]]) / np.maximum(n, 1)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.round(1 / (1 + np.exp(-(mean + bias))), 6))], ["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id bigint, score double")
+    return docs.mapInArrow(run, typed("doc_id bigint, score double", docs))
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, documents, own_ids, partitions, texts
+from spanloom.llm.common import checkpoint, documents, own_ids, partitions, texts, typed
 from spanloom.llm.components import components
 
 DISTANCE = 3
@@ -62,7 +62,8 @@ def fingerprints(docs: DataFrame, width: int = 3, doc_id: str = "doc_id", text:
             found = np.array([fingerprint(t, width) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], ["doc_id", "fp"])
 
-    return texts(docs, doc_id, text).mapInArrow(run, "doc_id bigint, fp bigint")
+    plain = texts(docs, doc_id, text)
+    return plain.mapInArrow(run, typed("doc_id bigint, fp bigint", plain))
 
 
 def order_bits(distinct: DataFrame) -> list[int]:

@@ -41,8 +41,9 @@ WINDOW = 100
 GRAM = 24
 #: Bytes that are hashed at a time; blocks are cut into segments that overlap by WINDOW - 1.
 SEGMENT = 1 << 18
-#: Bytes of texts in a block (a longer text is in a block with others all the same).
-BLOCK_BYTES = 1 << 25
+#: Bytes of texts in a block at most (a longer text is in a block with others all the same), and at least, as long as there are four
+#: blocks to a partition: blocks talk to buckets, so needlessly many would make very many short messages.
+BLOCK_BYTES, LEAST_BYTES = 1 << 25, 1 << 21
 #: Bytes of runs that are sorted at a time, unless one anchor has more.
 SORTED = 400_000
 #: Different runs of one anchor that may meet in one group.
@@ -546,13 +547,13 @@ def _remove(names: list[str], keep_text: bool):
     return run
 
 
-def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, hot: int = HOT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False, hot: int = HOT, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Per row: row (the columns of docs, as a struct), n_bytes, n_removed, n_spans, kept_sha256 of the remaining bytes and,
     if keep_text, the text without the whole characters that were removed, in row."""
     spark = docs.sparkSession
     rows, uid = own_ids(docs, doc_id, text)
     total = docs.agg(F.sum(F.octet_length(docs[text].cast("string")))).first()[0] or 0
-    n = max(4 * partitions(spark), total // block_bytes + 1)
+    n = max(total // BLOCK_BYTES, min(4 * partitions(spark), total // least_bytes)) + 1
     names = [f"c{k}" for k, c in enumerate(docs.columns) if c != text]
     others = [rows[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]
     flat = rows.select(rows[uid].cast("bigint").alias("uid"), F.coalesce(rows[text].cast("string"), F.lit("")).alias("text"), *others)

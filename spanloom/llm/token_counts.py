@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import pretokens
-from spanloom.llm.common import documents, texts
+from spanloom.llm.common import documents, texts, typed
 
 WORD_SPECIAL = ("<|startoftext|>", "<|endoftext|>")
 #: Distinct pre-tokens that a task remembers between blocks.
@@ -76,7 +76,8 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
                 size = [len(t.encode()) for t in values[a:b]]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(tokens)], ["doc_id", "n_bytes", "n_tokens"])
 
-    return texts(docs, doc_id, text).mapInArrow(count, SCHEMA)
+    plain = texts(docs, doc_id, text)
+    return plain.mapInArrow(count, typed(SCHEMA, plain))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

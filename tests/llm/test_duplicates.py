@@ -119,14 +119,14 @@ def passages(n, seed):
 def test_suffix_dedup(spark, hot):
     docs = passages(80, 5)
     df = spark.createDataFrame([(k, t, "r", 1) for k, t in docs], "doc_id long, text string, row string, uid int")
-    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, hot=hot).collect()}
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, hot=hot, least_bytes=2000).collect()}
     assert got == brute_dedup(docs)
 
 
 def test_long_texts_are_cut_anywhere(spark, monkeypatch):
     docs = passages(30, 6)
     docs[4] = (docs[4][0], "".join(t or "" for _, t in docs) * 2)
-    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string"), least_bytes=1000).collect()}
     assert got == brute_dedup(docs)
     whole = np.frombuffer(("xyz" * 500).encode(), np.uint8)
     start, count, _ = suffix_dedup.runs(whole, len(whole) - np.arange(len(whole)), suffix_dedup.Powers(4096))
@@ -176,7 +176,7 @@ def test_shared_lead_in(spark):
     tails = ["".join(random.choice("abcdefgh ") for _ in range(90)) for _ in range(60)]
     docs = [(k, "".join(random.choice("uvwxyz") for _ in range(30)) + lead + random.choice(tails)) for k in range(150)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, hot=5, block_bytes=500).collect()}
+    got = {r.row.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(df, hot=5, least_bytes=500).collect()}
     assert got == brute_dedup(docs)
 
 
