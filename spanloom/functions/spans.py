@@ -15,18 +15,37 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def running_sums(numbers: Column) -> Column:
+    """Per number of an array the sum of those before it: sums of stretches first, so that no step copies what came before."""
+    kind = "array<int>"
+
+    def plus(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda s, y: (s + y).cast("int"))
+
+    def stretches(x: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(x).cast("double"))), F.lit(1)).cast("int")
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(x), F.lit(1)), width), lambda k: F.slice(x, k, width))
+
+    def flat(parts: Column) -> Column:
+        def within(sums: Column) -> Column:
+            return F.flatten(F.transform(parts, lambda part, k: let(plus(F.slice(sums, F.lit(1), k)), lambda start: F.transform(part, lambda _, i: (start + plus(F.slice(part, F.lit(1), i))).cast("int")))))
+
+        return let(F.transform(parts, plus), within)
+
+    return F.when(F.size(numbers) <= 0, F.array().cast(kind)).otherwise(let(numbers.cast(kind), lambda x: let(stretches(x), flat)))
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches of a Java pattern without groups that matter; null text: no spans."""
     none = F.array().cast(SPAN)
     pieces = F.split(F.regexp_replace(F.translate(text, MARK, SWAP), f"({pattern})", f"{MARK}$1{MARK}"), MARK)
 
-    def step(s: Column, piece: Column) -> Column:
-        end = (s["at"] + F.length(piece)).cast("int")
-        span = F.array(F.struct(s["at"].alias("start"), end.alias("end"), piece.alias("text")))
-        return F.struct(end.alias("at"), (~s["match"]).alias("match"), F.when(s["match"], F.concat(s["out"], span)).otherwise(s["out"]).alias("out"))
+    def placed(p: Column) -> Column:
+        # odd pieces, counted from 0, are the matches
+        at = running_sums(F.transform(p, lambda x: F.length(x)))
+        return let(at, lambda a: F.transform(F.sequence(F.lit(1), F.size(p) - 1, F.lit(2)), lambda k: F.struct(F.get(a, k).alias("start"), (F.get(a, k) + F.length(F.get(p, k))).cast("int").alias("end"), F.get(p, k).alias("text"))))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("match"), none.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pieces, zero, step, lambda s: s["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), let(pieces, placed)).otherwise(none)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -66,11 +85,27 @@ def greedy_select(spans: Column) -> Column:
     return F.array_sort(F.aggregate(F.array_sort(ranked), F.array().cast(kind), step))
 
 
+#: Code points of the chunks that a text is cut into, so that reading a part doesn't walk the whole text.
+CHUNK = 4096
+
+
+def chunks(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(CHUNK)), lambda k: F.substring(text, k, F.lit(CHUNK)))
+
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """Of a text in chunks, what lies from start to end."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - first * CHUNK + 1, end - start)
+
+
 def replace_spans(text: Column, spans: Column) -> Column:
     """text with each of the sorted, disjoint spans (start, end, alias) replaced by its alias."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(s: Column, x: Column) -> Column:
-        return F.struct(x["end"].cast("int").alias("at"), F.concat(s["out"], F.substring(text, s["at"] + 1, x["start"] - s["at"]), x["alias"]).alias("out"))
+    def written(pieces: Column) -> Column:
+        before = lambda s, k: F.coalesce(F.get(spans, k - 1)["end"].cast("int"), F.lit(0))
+        body = F.transform(spans, lambda s, k: F.concat(part(pieces, before(s, k), s["start"].cast("int")), s["alias"]))
+        tail = part(pieces, F.coalesce(F.try_element_at(spans, F.lit(-1))["end"].cast("int"), F.lit(0)), F.length(text))
+        return F.concat(F.array_join(body, ""), tail)
 
-    return F.aggregate(spans, zero, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) <= 0, text).otherwise(let(chunks(text), written))

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from spanloom.functions.spans import find_spans, greedy_select, merge_ranges, replace_spans
+from spanloom.functions.spans import find_spans, greedy_select, merge_ranges, replace_spans, running_sums
 
 PIECES = ["ab", "a", "b", "é", "😀", "", " ", "aab", "\n"]
 
@@ -47,3 +47,35 @@ def test_replace_spans(spark):
     df = spark.createDataFrame([("ab😀cd", [(0, 1, "X"), (2, 3, "YY"), (4, 5, "")])], "t string, s array<struct<start:int,end:int,alias:string>>")
     assert df.select(replace_spans(F.col("t"), F.col("s"))).first()[0] == "XbYYc"
     assert df.select(replace_spans(F.col("t"), F.slice("s", 1, 0))).first()[0] == "ab😀cd"
+
+
+def test_running_sums(spark):
+    data = [(list(range(n)),) for n in (0, 1, 2, 3, 7, 16, 17, 40)]
+    for (r,) in spark.createDataFrame(data, "x array<int>").select(F.struct("x", running_sums(F.col("x")).alias("s"))).collect():
+        assert r.s == [sum(r.x[:k]) for k in range(len(r.x))]
+
+
+def test_parts_of_long_texts(spark):
+    random.seed(4)
+    text = "".join(random.choice("abé😀 ") for _ in range(13_000))
+    cuts = sorted(random.sample(range(len(text)), 60))
+    spans = [(s, e, random.choice(["", "X", "EMAIL_12"])) for s, e in zip(cuts[::2], cuts[1::2], strict=True)]
+    out, at = [], 0
+    for s, e, x in spans:
+        out += [text[at:s], x]
+        at = e
+    df = spark.createDataFrame([(text, spans)], "t string, s array<struct<start:int,end:int,alias:string>>")
+    assert df.select(replace_spans(F.col("t"), F.col("s"))).first()[0] == "".join(out) + text[at:]
+
+
+def test_twenty_thousand_spans_in_two_megabytes(spark):
+    """The time grows with the text: a quadratic fold took minutes."""
+    import time
+
+    text = ("x" * 90 + " ann@ex.org, ") * 20_000
+    df = spark.createDataFrame([(text,)], "t string").cache()
+    df.count()
+    spans = F.transform(find_spans(F.col("t"), "[a-z]+@[a-z.]+"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("EMAIL_1").alias("alias")))
+    began = time.time()
+    found = df.select(spans.alias("s"), "t").select(F.size("s").alias("n"), replace_spans(F.col("t"), F.col("s")).alias("t")).first()
+    assert found.n == 20_000 and found.t == ("x" * 90 + " EMAIL_1, ") * 20_000 and time.time() - began < 60
