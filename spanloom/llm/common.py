@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,6 +70,29 @@ def checkpoint_dealt(df: DataFrame, by: str) -> DataFrame:
         spark.conf.set(key, before)
 
 
+def release() -> None:
+    """Hands back to the system what a Python worker has freed: workers are used again, and their neighbours need the memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def squeezed(frame: DataFrame, text: str, to: str) -> DataFrame:
+    """frame with its string column text as compressed bytes, last and named to: for shuffles, where size is what counts."""
+    rest = [c for c in frame.columns if c != text]
+    ordered = frame.select(*rest, text)
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            data = [None if t is None else pack(t.encode()) for t in batch.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(data, pa.binary())], [*rest, to])
+        release()
+
+    schema = T.StructType([*[ordered.schema[c] for c in rest], T.StructField(to, T.BinaryType())])
+    return ordered.mapInArrow(run, schema)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

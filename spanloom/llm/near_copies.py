@@ -1,11 +1,14 @@
 """Near-duplicates by the general rule: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Links are closed transitively. Three steps, none of which compares all with all:
-
-1. Texts with the same set of shingles are one set. Each set gets BANDS * ROWS min-hashes; sets that agree on a whole band
-   meet, and are linked if their sketches (a byte of each min-hash) agree on LIKELY places. A pair at similarity 0.8 meets
-   with probability 1 - (1 - 0.8^4)^16 = 0.9998, more similar ones more surely.
-2. The sets that these links join are made again from the texts and dealt out by group, a large group by pairs of blocks,
+This is the SimHash operator with five-word shingles, a check of every candidate on whole sets, and a second net for what lies
+beyond its radius: at similarity 0.8 fingerprints of 64 bits differ in ten bits on average, where parts of the pigeonhole are too
+short to tell texts apart. Links are closed transitively. Three steps, none of which compares all with all:
+
+1. Texts with the same set of shingles are one set. Sets are candidates if simhash.links joins their fingerprints, by the
+   generalised pigeonhole. Beside that each set gets BANDS * ROWS min-hashes; sets that agree on a whole band meet, and are
+   candidates if their sketches (a byte of each min-hash) agree on LIKELY places. A pair at similarity 0.8 meets there with
+   probability 1 - (1 - 0.8^4)^16 = 0.9998, more similar ones more surely.
+2. The sets that candidates join are made again from the texts and dealt out by group, a large group by pairs of blocks,
    so that a task holds a bounded number of shingles and every pair of a group meets somewhere.
 3. There the similarities are exact; only links of LEAST or more stay.
 
@@ -21,10 +24,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import checkpoint, own_ids, partitions, texts
+from spanloom.llm.common import checkpoint, own_ids, partitions, release, squeezed, texts
 from spanloom.llm.components import components
-from spanloom.llm.simhash import LOWER, SEED, WORD
-from spanloom.llm.suffix_dedup import squeezed
+from spanloom.llm.simhash import LOWER, WORD, links, majority, shingle_hashes
 
 WIDTH = 5
 #: Similarity of linked sets, in tenths.
@@ -42,12 +44,13 @@ _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.
 _B = _RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
 
 
+def _hashes(text: str | None) -> np.ndarray:
+    return shingle_hashes(WORD.findall((text or "").translate(LOWER)), WIDTH)
+
+
 def shingles(text: str | None) -> np.ndarray:
     """The set of a text's shingles, as ascending hashes."""
-    words = WORD.findall((text or "").translate(LOWER))
-    n = max(1, len(words) - WIDTH + 1)
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(" ".join(words[i : i + WIDTH]), SEED) for i in range(n)), np.uint64, n))
+    return np.unique(_hashes(text))
 
 
 def _min_hashes(found: np.ndarray) -> np.ndarray:
@@ -58,22 +61,26 @@ def _min_hashes(found: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, the digest of its set, the number of shingles, a hash of each band and the sketch."""
+    """doc_id, the digest of its set, the number of shingles, the fingerprint, a hash of each band and the sketch."""
 
     def run(batches):
         for batch in batches:
-            whole, sizes, bands, sketch = [], [], [], []
+            whole, sizes, bands, sketch, fps = [], [], [], [], []
             for t in batch.column("text").to_pylist():
-                found = shingles(t)
+                every = _hashes(t)
+                found = np.unique(every)
+                fps.append(majority(every))
                 least = _min_hashes(found)
                 whole.append(xxhash.xxh128_digest(found.tobytes()))
                 sizes.append(len(found))
                 bands.append([xxhash.xxh64_intdigest(x.tobytes()) - 2**63 for x in least.reshape(BANDS, ROWS)])
                 sketch.append((least >> np.uint64(56) ^ least >> np.uint64(24)).astype(np.uint8).tobytes())
-            columns = [batch.column("doc_id"), pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "size", "bands", "sketch"])
+            columns = [batch.column("doc_id"), pa.array(whole, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "whole", "size", "bands", "sketch", "fp"])
+        release()
 
-    return texts(docs, doc_id, text).mapInArrow(run, "doc_id bigint, whole binary, size bigint, bands array<bigint>, sketch binary")
+    plain = texts(docs, doc_id, text)
+    return plain.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, whole binary, size bigint, bands array<bigint>, sketch binary, fp bigint")
 
 
 def _groups(*keys: np.ndarray) -> list[tuple[int, int]]:
@@ -162,26 +169,36 @@ def _verified(dealt: DataFrame, buckets: int) -> DataFrame:
             for x, y in similar([shingles(unpack(data[int(k)].as_py()).decode()) for k in order[s:e]]):
                 a.append(int(ids[order[s + x]]))
                 b.append(int(ids[order[s + y]]))
+        release()
         return _link_table(a, b)
 
     return dealt.withColumn("bucket", F.pmod(F.xxhash64("g", "i", "j"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
 
 
+def _fingerprint_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) between sets (id, fp) whose fingerprints are equal or linked, by way of each fingerprint's first set."""
+    prints = checkpoint(sets.groupBy("fp").agg(F.min("id").alias("first")))
+    equal = sets.join(prints, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = links(prints)
+    ends = near.join(prints.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
+    return equal.unionByName(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """id: the smallest doc_id of each class of near-duplicates, of docs whose ids tell the rows apart."""
     buckets = 4 * partitions(docs.sparkSession)
-    prints = _sketches(docs, doc_id, text).groupBy("whole").agg(F.min_by(F.struct("size", "bands", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
+    prints = _sketches(docs, doc_id, text).groupBy("whole").agg(F.min_by(F.struct("size", "bands", "sketch", "fp"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     sets = checkpoint(prints.select("id", "s.*"))
-    likely = components(_likely(sets.select("id", "sketch", F.posexplode("bands").alias("p", "v")), buckets))
+    likely = components(_fingerprint_links(sets).unionByName(_likely(sets.select("id", "sketch", F.posexplode("bands").alias("p", "v")), buckets)))
     groups = checkpoint(likely.join(sets.select("id", "size"), F.col("vertex") == F.col("id")).select("id", F.col("component").alias("g"), "size"))
     blocks = groups.groupBy("g").agg(F.ceil(F.sum("size") / block).cast("int").alias("m"))
     placed = groups.join(blocks, "g").withColumn("k", F.pmod(F.xxhash64("id"), F.col("m")).cast("int"))
     # every pair of blocks meets once; a group of one block is a pair by itself
     others = F.filter(F.sequence(F.lit(0), F.col("m") - 1), lambda x: (x != F.col("k")) | (F.col("m") == 1))
-    source = texts(docs, doc_id, text).select(F.col("doc_id").alias("id"), squeezed("text").alias("data"))
+    source = squeezed(texts(docs, doc_id, text).select(F.col("doc_id").cast("bigint").alias("id"), "text"), "text", "data")
     near = source.join(placed, "id").select("id", "g", "data", F.explode(F.transform(others, lambda x: F.struct(F.least(x, "k").alias("i"), F.greatest(x, "k").alias("j")))).alias("at"))
-    links = _verified(near.select("id", "g", "at.i", "at.j", "data"), buckets)
-    joined = components(links).select(F.col("vertex").alias("id"), "component")
+    found = _verified(near.select("id", "g", "at.i", "at.j", "data"), buckets)
+    joined = components(found).select(F.col("vertex").alias("id"), "component")
     return sets.select("id").join(joined, "id", "left").where("component is null or component = id").select("id")
 
 

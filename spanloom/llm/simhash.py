@@ -45,10 +45,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     words = WORD.findall((text or "").translate(LOWER))
     if not words:
         return 0
+    return majority(shingle_hashes(words, width))
+
+
+def shingle_hashes(words: list[str], width: int) -> np.ndarray:
+    """XXH64 of each shingle of words, repeats included; fewer words than width are one shingle."""
     n = max(1, len(words) - width + 1)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
-    ones = np.zeros(64, np.int64)
+    return np.fromiter((digest(" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    n, ones = len(h), np.zeros(64, np.int64)
     for k in range(0, n, CHUNK):
         ones += np.unpackbits(h[k : k + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")

@@ -27,15 +27,13 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.functions import pandas_udf
 
-from spanloom.llm.common import checkpoint, checkpoint_dealt, documents, own_ids, partitions
+from spanloom.llm.common import checkpoint, checkpoint_dealt, documents, own_ids, partitions, release, squeezed
 
 WINDOW = 100
 GRAM = 24
@@ -372,13 +370,6 @@ def _send_pieces(buckets: int, hot: int):
     return run
 
 
-@pandas_udf(T.BinaryType())
-def squeezed(column: pd.Series) -> pd.Series:
-    """Texts as compressed bytes: they cross a shuffle and a checkpoint, where their size is what counts."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    return column.map(lambda t: pack(t.encode()))
-
-
 def _names(*columns: np.ndarray) -> np.ndarray:
     """Ranks, from 1, of tuples of numbers."""
     name = columns[0].astype(np.int64)
@@ -495,6 +486,7 @@ def _sort_strings(blocks: int):
         if heads:
             found = repeats(np.frombuffer(b"".join(bodies), np.uint8), np.concatenate(heads), _powers())
             rows += [(RANGES, k, 0, p) for k, p in _by_bucket(found, block_of(found["d"], blocks))]
+        release()
         return _frame(rows)
 
     return run
@@ -557,7 +549,7 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text
     names = [f"c{k}" for k, c in enumerate(docs.columns) if c != text]
     others = [rows[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c != text]
     flat = rows.select(rows[uid].cast("bigint").alias("uid"), F.coalesce(rows[text].cast("string"), F.lit("")).alias("text"), *others)
-    dealt = flat.select("uid", squeezed("text").alias("data"), *names, F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias("block"))
+    dealt = squeezed(flat.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")), "text", "data")
     texts = checkpoint_dealt(dealt, "block")
 
     plain = texts.select("uid", "data", "block")
