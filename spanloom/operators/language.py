@@ -51,7 +51,7 @@ SELECT page_id, coalesce(p, m, 'en') AS lang, CASE WHEN p IS NOT NULL THEN 'path
 def closest_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source, the offered set of languages that covers what it has: the first superset, else the largest overlap, the earlier
     of equals."""
-    offered = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, x)).alias("set")) for k, x in enumerate((["en"], ["de", "en"], ["en", "fr"], ["de", "en", "es"]))])
+    offered = F.array(*[F.struct(F.lit(k).alias("k"), F.array(*map(F.lit, x)).alias("set")) for k, x in enumerate((["en"], ["de", "en"], ["en", "fr"], ["de", "en", "es"], ["de", "en", "es", "fr"]))])
     have = table(spark, sf_dir, "documents").groupBy("source").agg(F.array_sort(F.collect_set("lang")).alias("have"))
     rank = F.transform(offered, lambda o: F.struct((F.size(F.array_except("have", o["set"])) == 0).alias("all"), F.size(F.array_intersect("have", o["set"])).alias("n"), (-o["k"]).alias("k")))
     best = F.array_max(F.transform(rank, lambda r: F.struct(r["all"].alias("all"), F.when(r["all"], 0).otherwise(r["n"]).alias("n"), r["k"].alias("k"))))
@@ -59,8 +59,8 @@ def closest_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLOSEST_SQL = """
-WITH h AS (SELECT source, list_sort(list_distinct(list(lang))) AS l FROM documents WHERE doc_id % 10 < 6 GROUP BY 1),
-o AS (SELECT unnest([0, 1, 2, 3]) AS k, unnest([['en'], ['de', 'en'], ['en', 'fr'], ['de', 'en', 'es']]) AS s)
+WITH h AS (SELECT source, list_sort(list_distinct(list(lang))) AS l FROM documents GROUP BY 1),
+o AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([['en'], ['de', 'en'], ['en', 'fr'], ['de', 'en', 'es'], ['de', 'en', 'es', 'fr']]) AS s)
 SELECT source, array_to_string(any_value(l), ',') AS langs, arg_max(k, struct_pack(a := list_has_all(s, l), n := CASE WHEN list_has_all(s, l) THEN 0 ELSE len(list_intersect(l, s)) END, k := -k))::INTEGER AS choice FROM h, o GROUP BY source
 """
 

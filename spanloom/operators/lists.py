@@ -53,24 +53,30 @@ NEVER_SQL = f"SELECT doc_id, start_cp, value FROM ({EMAIL_DETECT_SQL}) WHERE NOT
 
 
 def always_mentions(docs: DataFrame, wordings: DataFrame) -> DataFrame:
-    """Mentions of listed wordings (one or two words, in any case) as whole words: an equi join of word n-grams with the list,
-    so the work grows with the text, not with text times list. word_no counts from 0."""
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    tokens = docs.select("doc_id", F.posexplode(words).alias("word_no", "w"))
-    w = Window.partitionBy("doc_id").orderBy("word_no")
-    grams = tokens.withColumn("next", F.lead("w").over(w)).select("doc_id", "word_no", F.explode(F.array("w", F.concat("w", F.lit(" "), "next"))).alias("key"))
-    return grams.join(wordings.select("key").distinct(), "key").select("doc_id", "word_no", "key")
+    """Mentions of listed wordings (any number of words, in any case) as whole words; word_no counts from 0.
+
+    Wordings meet the texts by their first word, an equi join, and are then compared as a slice of the document's words; a longer
+    list costs more only where first words agree. Wordings without a letter or digit match nothing.
+    """
+    split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    listed = wordings.select("key").distinct().select("key", split("key").alias("want")).where(F.size("want") > 0).withColumn("w", F.get("want", F.lit(0)))
+    longest = listed.agg(F.max(F.size("want"))).first()[0] or 1  # one number
+    ahead = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws)), lambda k: F.struct((k - 1).alias("word_no"), F.get(ws, k - 1).alias("w"), F.slice(ws, k, F.lit(longest)).alias("ahead")))
+    texts = docs.select("doc_id", split("text").alias("ws")).where(F.size("ws") > 0)
+    tokens = texts.select("doc_id", F.inline(ahead(F.col("ws"))))
+    return tokens.join(listed, "w").where(F.slice("ahead", F.lit(1), F.size("want")) == F.col("want")).select("doc_id", "word_no", "key")
 
 
 def always_semijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame([(k,) for k in ("moron", "that in", "que la", "der die", "worthless")], "key string")
+    listed = spark.createDataFrame([(k,) for k in ("moron", "that in", "que la", "der die", "worthless", "all rights reserved", "of the of the")], "key string")
     return always_mentions(table(spark, sf_dir, "documents"), listed)
 
 
 ALWAYS_SQL = r"""
 WITH t AS (SELECT doc_id, unnest(w) AS w, (generate_subscripts(w, 1) - 1)::INTEGER AS word_no FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents)),
-g AS (SELECT doc_id, word_no, w, w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY word_no) AS g FROM t)
+g AS (SELECT doc_id, word_no, w, w || ' ' || lead(w) OVER o AS g, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS h, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS i FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY word_no))
 SELECT doc_id, word_no, w AS key FROM g WHERE w IN ('moron', 'worthless') UNION ALL SELECT doc_id, word_no, g FROM g WHERE g IN ('that in', 'que la', 'der die')
+UNION ALL SELECT doc_id, word_no, h FROM g WHERE h = 'all rights reserved' UNION ALL SELECT doc_id, word_no, i FROM g WHERE i = 'of the of the'
 """
 
 

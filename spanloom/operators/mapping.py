@@ -116,9 +116,7 @@ def one_edit(names: DataFrame, name: str) -> DataFrame:
     Blocked by each name's deletions (the name, and it without one character): names one edit apart share one, so there
     is never a pair that is not at least two edits close.
     """
-    n = F.col(name)
-    shorter = F.transform(F.sequence(F.lit(1), F.length(n)), lambda k: F.concat(F.substring(n, F.lit(1), k - 1), F.substring(n, k + 1, F.length(n))))
-    keyed = names.select(n.alias("name")).distinct().where(F.length("name") >= 6)
+    keyed = names.select(F.col(name).alias("name")).distinct().where(F.length("name") >= 6)
     n = F.col("name")
     shorter = F.transform(F.sequence(F.lit(1), F.length(n)), lambda k: F.concat(F.substring(n, F.lit(1), k - 1), F.substring(n, k + 1, F.length(n))))
     keyed = keyed.select("name", F.explode(F.array_distinct(F.concat(F.array(n), shorter))).alias("block"))
@@ -139,60 +137,8 @@ SELECT a.name, b.name AS other FROM n a JOIN n b ON a.name < b.name AND abs(leng
 """
 
 
-def join_case(document: DataFrame, case: DataFrame) -> DataFrame:
-    """Document identities (doc_id, position, alias, category, original) against case identities (case_pos, case_alias, category,
-    original): the first case identity that shares an original and is not taken, one to one by position.
-
-    Both sides are numbered within (category, original), so the n-th identity with an original meets the n-th of the case.
-    """
-    own = document.withColumn("n", F.row_number().over(Window.partitionBy("doc_id", "category", "original").orderBy("position")))
-    theirs = case.withColumn("n", F.row_number().over(Window.partitionBy("category", "original").orderBy("case_pos")))
-    return own.join(theirs, ["category", "original", "n"], "left").select("doc_id", "position", "category", "original", "alias", F.coalesce("case_alias", "alias").alias("joined_alias"), F.col("case_alias").isNotNull().alias("matched"))
-
-
-def case_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' addresses meet the case that their source makes."""
-    own = alias_numbering(spark, sf_dir).select("doc_id", F.col("number").alias("position"), "alias", "category", F.col("key").alias("original"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    case = alias_numbering_by_source(spark, sf_dir).groupBy("category", "key").agg(F.min(F.struct("source", "number", "alias")).alias("c")).select("category", F.col("key").alias("original"), F.col("c.number").alias("case_pos"), F.col("c.alias").alias("case_alias"))
-    del docs
-    return join_case(own, case)
-
-
-CASE_JOIN_SQL = f"""
-WITH own AS ({ALIAS_NUMBERING_SQL}), c AS (SELECT key, arg_min(alias, struct_pack(s := source, n := number)) AS case_alias FROM ({ALIAS_BY_SOURCE_SQL}) GROUP BY key)
-SELECT doc_id, number AS position, category, own.key AS original, alias, coalesce(case_alias, alias) AS joined_alias, case_alias IS NOT NULL AS matched FROM own LEFT JOIN c USING (key)
-"""
-
-
-def upsert_case(case: DataFrame, members: DataFrame) -> DataFrame:
-    """case and members (scope, alias, previous, originals) merged by current alias, else by an earlier one: originals and
-    earlier aliases are united, identities that match nothing are added, and no alias is ever dropped."""
-    old = case.select("scope", "alias", F.col("previous").alias("old_previous"), F.col("originals").alias("old_originals"))
-    by_alias = members.join(old, ["scope", "alias"], "full")
-    empty = F.array().cast("array<string>")
-    united = lambda a, b: F.array_sort(F.array_distinct(F.concat(F.coalesce(a, empty), F.coalesce(b, empty))))
-    return by_alias.select("scope", "alias", united(F.col("old_previous"), F.col("previous")).alias("previous"), united(F.col("old_originals"), F.col("originals")).alias("originals"))
-
-
-def case_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A case of nations per region, met by a newer version that spells them in capitals and knows fewer regions."""
-    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("scope"), F.concat(F.lit("N_"), F.col("n_nationkey").cast("string")).alias("alias"), "n_name", "n_regionkey", "n_nationkey")
-    none = F.array().cast("array<string>")
-    case = nations.where("n_nationkey % 3 <> 0").select("scope", "alias", none.alias("previous"), F.array(F.lower("n_name")).alias("originals"))
-    members = nations.where("n_regionkey < 4").select("scope", "alias", F.array(F.concat(F.lit("OLD_"), F.col("alias"))).alias("previous"), F.array("n_name").alias("originals"))
-    merged = upsert_case(case, members)
-    return merged.select("scope", "alias", F.array_join("previous", ",").alias("previous"), F.array_join("originals", ",").alias("originals"))
-
-
-CASE_UPSERT_SQL = """
-SELECT 'R' || n_regionkey AS scope, 'N_' || n_nationkey AS alias, CASE WHEN n_regionkey < 4 THEN 'OLD_N_' || n_nationkey ELSE '' END AS previous,
-  array_to_string(list_sort(list_distinct((CASE WHEN n_nationkey % 3 <> 0 THEN [lower(n_name)] ELSE [] END) || (CASE WHEN n_regionkey < 4 THEN [n_name] ELSE [] END))), ',') AS originals
-FROM nation WHERE n_nationkey % 3 <> 0 OR n_regionkey < 4
-"""
-
 QUERIES = [
     ("alias_numbering", alias_numbering, ALIAS_NUMBERING_SQL), ("alias_numbering_by_source", alias_numbering_by_source, ALIAS_BY_SOURCE_SQL), ("next_alias", next_alias, NEXT_ALIAS_SQL),
     ("url_key_dedup", url_key_dedup, URL_KEY_SQL), ("norm_key_join", norm_key_join, NORM_KEY_SQL), ("spelling_variants", spelling_variants, SPELLING_SQL),
-    ("near_duplicate_names", near_duplicate_names, NEAR_NAMES_SQL), ("case_join", case_join, CASE_JOIN_SQL), ("case_upsert", case_upsert, CASE_UPSERT_SQL),
+    ("near_duplicate_names", near_duplicate_names, NEAR_NAMES_SQL),
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.spans import find_spans, let, replace_spans
+from spanloom.functions.spans import chunks, find_spans, let, part, replace_spans, running_sums
 from spanloom.operators.mapping import ALIAS_NUMBERING_SQL, alias_numbering, normalization_key
 from spanloom.operators.recognizers import EMAIL, EMAIL_SQL_PATTERN, sql_spans
 from spanloom.sources.tables import table
@@ -22,20 +22,27 @@ def alias_key(token: Column) -> Column:
     return F.concat(F.upper(F.regexp_extract(token, "^[A-Za-z]+", 0)), F.lit("_"), F.regexp_extract(token, "[0-9]+$", 0).cast("int").cast("string"))
 
 
-def with_mapping(docs: DataFrame, mapping: DataFrame, scope: str) -> DataFrame:
-    """docs with a map of their scope's mapping (scope, key, value). A scope is a document or a case, so its map is bounded by
-    the identities of one scope; documents without any get an empty map."""
-    maps = mapping.groupBy(scope).agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("mapping"))
-    return docs.join(maps, scope, "left").withColumn("mapping", F.coalesce("mapping", F.create_map().cast("map<string,string>")))
+def with_mapping(docs: DataFrame, mapping: DataFrame, scope: str, keys: Column) -> DataFrame:
+    """docs with a map from those of their keys (an array) that their scope's mapping (scope, key, value) knows.
+
+    The keys are joined one by one and folded back, so a document carries what it mentions itself, however many identities a scope
+    has. Defined cases: null keys and values say nothing; of several values of a key the least counts; a null scope knows nothing.
+    """
+    known = mapping.where("key is not null and value is not null").groupBy(scope, "key").agg(F.min("value").alias("value"))
+    wanted = docs.withColumn("_keys", F.array_sort(F.array_distinct(F.array_compact(keys))))
+    sets = wanted.where(F.size("_keys") > 0).select(scope, "_keys").distinct()
+    maps = sets.select(scope, "_keys", F.explode("_keys").alias("key")).join(known, [scope, "key"]).groupBy(scope, "_keys").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("mapping"))
+    return wanted.join(maps, [scope, "_keys"], "left").withColumn("mapping", F.coalesce("mapping", F.create_map().cast("map<string,string>"))).select(*docs.columns, "mapping")
 
 
 def pseudonymize(docs: DataFrame, mapping: DataFrame, pattern: str, key, scope: str = "doc_id") -> DataFrame:
-    """docs with pseudonymized (text with known wordings replaced by aliases) and n_replaced; unknown wordings stay."""
-    known = lambda m: lambda s: m[key(s["text"])].isNotNull()
-    alias = lambda m: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), m[key(s["text"])].alias("alias"))
-    spans = let(F.col("mapping"), lambda m: F.transform(F.filter(find_spans(F.col("text"), pattern), known(m)), alias(m)))
-    found = with_mapping(docs, mapping, scope).withColumn("_spans", spans)
-    return found.withColumn("pseudonymized", replace_spans(F.col("text"), F.col("_spans"))).withColumn("n_replaced", F.size("_spans")).drop("_spans", "mapping")
+    """docs with pseudonymized (text with known wordings replaced by aliases) and n_replaced; unknown wordings stay. A null text
+    stays null; a text without a known wording comes back as it is."""
+    found = docs.withColumn("_found", F.transform(find_spans(F.col("text"), pattern), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), key(s["text"]).alias("key"))))
+    found = with_mapping(found, mapping, scope, F.col("_found.key"))
+    spans = let(F.col("mapping"), lambda m: F.filter(F.transform("_found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), m[s["key"]].alias("alias"))), lambda s: s["alias"].isNotNull()))
+    found = found.withColumn("_spans", spans)
+    return found.withColumn("pseudonymized", replace_spans(F.col("text"), F.col("_spans"))).withColumn("n_replaced", F.size("_spans")).drop("_found", "_spans", "mapping")
 
 
 def token_spans(text: Column) -> Column:
@@ -47,36 +54,35 @@ def restore(docs: DataFrame, mapping: DataFrame, scope: str = "doc_id") -> DataF
     """docs with restored (aliases replaced by primary wordings), n_restored, landed (where the wordings lie in restored) and
     unresolved (strict aliases that nothing is known of; loose ones are left alone).
 
-    A wording that ends in a period before another period gives one up.
+    A wording that ends in a period before another period gives one up. A null text restores to null, with nothing in it.
     """
     text = F.col("text")
+    scanned = docs.withColumn("_tokens", token_spans(text)).withColumn("_after", F.transform("_tokens", lambda s: F.lit(False)))
+    followed = let(chunks(text), lambda c: F.transform("_tokens", lambda s: part(c, s["end"], s["end"] + 1) == "."))
+    scanned = scanned.withColumn("_after", F.when(F.size("_tokens") > 0, followed).otherwise(F.col("_after")))
+    found = with_mapping(scanned, mapping, scope, F.col("_tokens.key"))
 
-    def value(m: Column, s: Column) -> Column:
+    def one(m: Column, s: Column, period: Column) -> Column:
         wording = m[s["key"]]
-        doubled = wording.endswith(".") & (F.substring(text, s["end"] + 1, F.lit(1)) == ".")
-        return F.when(doubled, F.substring(wording, F.lit(1), F.length(wording) - 1)).otherwise(wording)
-
-    known = lambda m: lambda t: F.transform(F.filter(t, lambda s: m[s["key"]].isNotNull()), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), value(m, s).alias("alias")))
-    found = with_mapping(docs, mapping, scope).withColumn("_tokens", token_spans(text))
-    found = found.withColumn("_spans", let(F.col("mapping"), lambda m: known(m)(F.col("_tokens"))))
-
-    def land(s: Column, x: Column) -> Column:
-        at = (x["start"] + s["shift"]).cast("int")
-        end = (at + F.length(x["alias"])).cast("int")
-        return F.struct((s["shift"] + F.length(x["alias"]) - (x["end"] - x["start"])).cast("int").alias("shift"), F.concat(s["out"], F.array(F.struct(at.alias("start"), end.alias("end")))).alias("out"))
-
-    landed = F.aggregate("_spans", F.struct(F.lit(0).alias("shift"), F.array().cast("array<struct<start:int,end:int>>").alias("out")), land, lambda s: s["out"])
+        value = F.when(wording.endswith(".") & period, F.substring(wording, F.lit(1), F.length(wording) - 1)).otherwise(wording)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), value.alias("alias"))
+
+    spans = let(F.col("mapping"), lambda m: F.filter(F.zip_with("_tokens", "_after", lambda s, p: one(m, s, p)), lambda s: s["alias"].isNotNull()))
+    found = found.withColumn("_spans", spans)
+    size = lambda s: F.length(s["alias"])
+    moved = let(running_sums(F.transform("_spans", lambda s: size(s) - (s["end"] - s["start"]))), lambda by: F.transform("_spans", lambda s, k: F.struct((s["start"] + F.get(by, k)).cast("int").alias("start"), (s["start"] + F.get(by, k) + size(s)).cast("int").alias("end"))))
+    landed = F.when(F.size("_spans") > 0, moved).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     lost = let(F.col("mapping"), lambda m: F.transform(F.filter("_tokens", lambda s: s["strict"] & m[s["key"]].isNull()), lambda s: s["text"]))
     return (
-        found.withColumn("restored", replace_spans(text, F.col("_spans"))).withColumn("n_restored", F.size("_spans")).withColumn("landed", landed).withColumn("unresolved", F.array_distinct(lost)).drop("_spans", "_tokens", "mapping")
+        found.withColumn("restored", replace_spans(text, F.col("_spans"))).withColumn("n_restored", F.size("_spans")).withColumn("landed", landed).withColumn("unresolved", F.array_distinct(lost)).drop("_spans", "_tokens", "_after", "mapping")
     )
 
 
 def realias(docs: DataFrame, renames: DataFrame, scope: str = "doc_id") -> DataFrame:
     """docs with aliases renamed (scope, key, value) all at once, so that swaps work."""
-    found = with_mapping(docs, renames, scope)
-    pick = lambda m: F.transform(F.filter(token_spans(F.col("text")), lambda s: m[s["key"]].isNotNull()), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), m[s["key"]].alias("alias")))
-    return found.withColumn("_spans", let(F.col("mapping"), pick)).withColumn("realiased", replace_spans(F.col("text"), F.col("_spans"))).drop("_spans", "mapping")
+    found = with_mapping(docs.withColumn("_tokens", token_spans(F.col("text"))), renames, scope, F.col("_tokens.key"))
+    pick = lambda m: F.filter(F.transform("_tokens", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), m[s["key"]].alias("alias"))), lambda s: s["alias"].isNotNull())
+    return found.withColumn("_spans", let(F.col("mapping"), pick)).withColumn("realiased", replace_spans(F.col("text"), F.col("_spans"))).drop("_spans", "_tokens", "mapping")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.spans import find_spans, overlaps
+from spanloom.functions.spans import chunks, find_spans, let, overlaps, part
 from spanloom.operators.recognizers import icao_check
 from spanloom.sources.tables import table
 
@@ -90,17 +90,17 @@ def generated_alias(span: Column) -> Column:
     return span["text"].rlike(r"(?i)^(PERSON|ORG|EMAIL|URL|PHONE|ADDRESS|IDENTITY|TAX|BANK|CASE|DATE|REDACTED)([_\- ][0-9]{1,9})?$")
 
 
-def whole_word(text: Column, span: Column) -> Column:
-    """No letter, digit, underscore, slash, backslash or at-sign touches the span."""
-    before = F.when(span["start"] > 0, F.substring(text, span["start"], F.lit(1))).otherwise("")
-    after = F.substring(text, span["end"] + 1, F.lit(1))
+def whole_word(pieces: Column, span: Column) -> Column:
+    """No letter, digit, underscore, slash, backslash or at-sign touches the span (pieces: the text in chunks)."""
+    before = F.when(span["start"] > 0, part(pieces, span["start"] - 1, span["start"])).otherwise("")
+    after = part(pieces, span["end"], span["end"] + 1)
     glue = r"[\p{L}\p{N}_/\\@]"
     return ~before.rlike(glue) & ~after.rlike(glue)
 
 
-def mid_sentence(text: Column, span: Column) -> Column:
+def mid_sentence(pieces: Column, span: Column) -> Column:
     """Whether a word stands inside a sentence: not at a line's start, nor after a period, exclamation or question mark."""
-    before = F.substring(text, F.greatest(span["start"] - 7, F.lit(1)), F.least(span["start"], F.lit(8)))
+    before = part(pieces, F.greatest(span["start"] - 8, F.lit(0)), span["start"])
     return (span["start"] > 0) & ~before.rlike(r"(?:[.!?…]|\n)[\s\"'»”)]*$") & ~before.rlike(r"^\s*$")
 
 
@@ -185,11 +185,24 @@ UNION ALL SELECT o_orderkey, (23 + length(a) + length(b))::INTEGER, (23 + length
 
 
 def capital_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capitalised words by whether they stand inside a sentence, and are whole: a look at the left context per word."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Capitalised words of four letters or more in all documents, by whether they stand inside a sentence, and are whole: a look at
+    the left context per word."""
+    docs = table(spark, sf_dir, "documents")
     text = F.col("text")
-    judged = F.transform(find_spans(text, r"(?<![A-Za-z])[A-Z][a-z]{3,}(?![A-Za-z])"), lambda s: F.struct(mid_sentence(text, s).alias("mid"), whole_word(text, s).alias("whole")))
-    return docs.select("doc_id", F.inline(judged)).groupBy("mid", "whole").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+    found = find_spans(text, r"(?<!\p{L})\p{Lu}\p{Ll}{3,}(?!\p{L})")
+    judged = let(chunks(text), lambda c: F.transform(found, lambda s: F.struct(mid_sentence(c, s).alias("mid"), whole_word(c, s).alias("whole"))))
+    return docs.where("text is not null").select("doc_id", F.inline(judged)).groupBy("mid", "whole").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+#: The context is cut out of the text around each match, found by running lengths of what lies between matches.
+CAPITAL_SQL = r"""
+WITH p AS (SELECT doc_id, text, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, text, string_split(regexp_replace(text, '(^|[^\p{L}])(\p{Lu}\p{Ll}{3,})', '\1' || chr(57344) || '\2' || chr(57344), 'g'), chr(57344)) AS p FROM documents)),
+e AS (SELECT doc_id, text, x, i, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM p),
+s AS (SELECT doc_id, (e - length(x))::BIGINT AS s, substring(text, greatest(e - length(x) - 7, 1)::BIGINT, least(e - length(x), 8)::BIGINT) AS b, substring(text, (e + 1)::BIGINT, 1) AS a FROM e WHERE i % 2 = 0),
+j AS (SELECT doc_id, s > 0 AND NOT regexp_matches(b, '([.!?…]|\n)[\s"''»”)]*$') AND NOT regexp_matches(b, '^\s*$') AS mid,
+  NOT regexp_matches(right(b, 1), '[\p{L}\p{N}_/\\@]') AND NOT regexp_matches(a, '[\p{L}\p{N}_/\\@]') AS whole FROM s WHERE NOT regexp_matches(a, '\p{L}'))
+SELECT mid, whole, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM j GROUP BY 1, 2
+"""
 
 
-QUERIES = [("labelled_values", labelled_in_orders, LABELLED_SQL), ("capital_words", capital_words, None)]
+QUERIES = [("labelled_values", labelled_in_orders, LABELLED_SQL), ("capital_words", capital_words, CAPITAL_SQL)]

@@ -32,30 +32,34 @@ SELECT doc_id, mode, (e - length(piece))::INTEGER AS start_cp, piece AS value FR
 """
 
 
-def unknown_words(docs: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Words (doc_id, word, n) that a dictionary (word) doesn't have, in lower case; single letters and words all in capitals are
-    skipped. Distinct words per document meet the dictionary once."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("w")).where((F.length("w") > 1) & (F.col("w") != F.upper("w")))
-    counted = words.groupBy("doc_id", F.lower("w").alias("word")).agg(F.count("*").alias("n"))
-    return counted.join(dictionary.select("word").distinct(), "word", "left_anti").select("doc_id", "word", "n")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, lang (null: empty), w as written and n: each distinct word of a document once."""
+    words = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("w"))
+    return words.groupBy("doc_id", "lang", "w").agg(F.count("*").alias("n"))
 
 
-def _dictionary(docs: DataFrame) -> DataFrame:
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0))).alias("w"))
-    return words.groupBy(F.lower("w").alias("word")).agg(F.countDistinct("doc_id").alias("n_docs"))
+def dictionaries(counts: DataFrame, least: int) -> DataFrame:
+    """lang, word: the words, in lower case, that so many documents of a language use, from word_counts."""
+    return counts.select("doc_id", "lang", F.lower("w").alias("word")).distinct().groupBy("lang", "word").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") >= least).select("lang", "word")
+
+
+def unknown_words(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Words (doc_id, lang, word, n) of word_counts that their language's dictionary (lang, word) doesn't have, in lower case; single
+    letters and words all in capitals are skipped."""
+    said = counts.where((F.length("w") > 1) & (F.col("w") != F.upper("w"))).groupBy("doc_id", "lang", F.lower("w").alias("word")).agg(F.sum("n").alias("n"))
+    return said.join(dictionary.select("lang", "word").distinct(), ["lang", "word"], "left_anti").select("doc_id", "lang", "word", "n")
 
 
 def spell_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents against a dictionary of the words that 20 documents or more use: flagged words per document."""
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
-    flagged = unknown_words(docs, _dictionary(docs).where("n_docs >= 20"))
-    return flagged.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_flags"))
+    """All documents against a dictionary per language, of the words that 20 documents or more use: flagged words per document."""
+    counts = word_counts(table(spark, sf_dir, "documents"))
+    return unknown_words(counts, dictionaries(counts, 20)).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.sum("n").alias("n_flags"))
 
 
 SPELL_SQL = r"""
-WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}]+')) AS w FROM documents WHERE lang = 'en'), d AS (SELECT lower(w) AS word FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 20),
-c AS (SELECT doc_id, lower(w) AS word, count(*) AS n FROM w WHERE length(w) > 1 AND w <> upper(w) GROUP BY 1, 2)
-SELECT doc_id, count(*) AS n_words, sum(n)::BIGINT AS n_flags FROM c WHERE word NOT IN (SELECT word FROM d) GROUP BY 1
+WITH w AS (SELECT doc_id, coalesce(lang, '') AS lang, unnest(regexp_extract_all(text, '[\p{L}]+')) AS w FROM documents), d AS (SELECT lang, lower(w) AS word FROM w GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 20),
+c AS (SELECT doc_id, lang, lower(w) AS word, count(*) AS n FROM w WHERE length(w) > 1 AND w <> upper(w) GROUP BY 1, 2, 3)
+SELECT doc_id, count(*) AS n_words, sum(n)::BIGINT AS n_flags FROM c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.lang = c.lang AND d.word = c.word) GROUP BY 1
 """
 
 
@@ -77,11 +81,13 @@ def suggest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
 
 
 def suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suggestions among part names for misspelt ones (the last letter doubled)."""
+    """Suggestions among part names for misspelt ones (the first two letters swapped, the last one doubled or both)."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("word")).distinct()
-    return suggest(names.select(F.concat("word", F.substring("word", -1, 1)).alias("word")), names)
+    swapped = F.concat(F.substring("word", 2, 1), F.substring("word", 1, 1), F.substring("word", 3, 1000))
+    doubled = lambda w: F.concat(w, F.substring("word", -1, 1))
+    return suggest(names.select(F.explode(F.array(doubled(F.col("word")), swapped, doubled(swapped))).alias("word")), names)
 
 
-SUGGEST_SQL = "WITH n AS (SELECT DISTINCT p_name AS w FROM part), m AS (SELECT w || right(w, 1) AS word FROM n) SELECT word, w AS suggestion, levenshtein(word, w)::INTEGER AS distance FROM m JOIN n ON left(word, 3) = left(w, 3) AND abs(length(word) - length(w)) <= 2 AND word <> w WHERE levenshtein(word, w) <= 2"
+SUGGEST_SQL = "WITH n AS (SELECT DISTINCT p_name AS w FROM part), v AS (SELECT w, w[2] || w[1] || substring(w, 3) AS x FROM n), m AS (SELECT DISTINCT unnest([w || right(w, 1), x, x || right(w, 1)]) AS word FROM v) SELECT word, w AS suggestion, levenshtein(word, w)::INTEGER AS distance FROM m JOIN n ON abs(length(word) - length(w)) <= 2 AND word <> w WHERE levenshtein(word, w) <= 2"
 
 QUERIES = [("find_literal", find_literal, FIND_SQL), ("spell_check", spell_check, SPELL_SQL), ("suggestions", suggestions, SUGGEST_SQL)]

@@ -125,3 +125,56 @@ def test_stream_aliases(spark, tmp_path):
     query = events.allocate_aliases(stream).writeStream.format("memory").queryName("aliases").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted((r.key, r.alias) for r in spark.sql("SELECT key, alias FROM aliases").collect()) == [("a", "EMAIL_1"), ("b", "EMAIL_2"), ("c", "EMAIL_3")]
+
+
+def test_join_case(spark):
+    """Aliases never meet: matched identities take the case's, others keep theirs only if nobody has or had it."""
+    from spanloom.operators.cases import join_case
+
+    document = "case_id int, doc_id int, position int, alias string, previous array<string>, category string, originals array<string>"
+    case = "case_id int, pos int, alias string, previous array<string>, category string, originals array<string>"
+
+    def joined(own, theirs):
+        rows = join_case(spark.createDataFrame([(1, *x) for x in own], document), spark.createDataFrame([(1, *x) for x in theirs], case)).collect()
+        return {(r.doc_id, r.position): (r.joined_alias, r.outcome) for r in rows}
+
+    e = "EMAIL"
+    assert joined([(5, 1, "EMAIL_1", [], e, ["a"]), (5, 2, "EMAIL_2", None, e, ["b"])], [(1, "EMAIL_1", [], e, ["b"])]) == {(5, 1): ("EMAIL_3", "numbered"), (5, 2): ("EMAIL_1", "matched")}
+    # forgotten and earlier names are taken; two identities can't be one; each document is by itself
+    got = joined(
+        [(5, 1, "EMAIL_7", [], e, ["x"]), (5, 2, "EMAIL_8", ["EMAIL_4"], e, ["y"]), (5, 3, "EMAIL_9", [], e, ["z", "w"]), (5, 4, "Boss", [], e, ["w"]), (6, 1, "EMAIL_20", [], e, ["w"]), (6, 2, "EMAIL_20", [], e, ["q"]), (6, 3, "EMAIL_20", [], e, ["r"])],
+        [(1, "EMAIL_2", ["EMAIL_7"], e, []), (2, "EMAIL_3", ["EMAIL_4"], e, ["k"]), (3, "EMAIL_5", [], e, ["w", "z"])],
+    )
+    assert got == {(5, 1): ("EMAIL_10", "numbered"), (5, 2): ("EMAIL_11", "numbered"), (5, 3): ("EMAIL_5", "matched"), (5, 4): ("Boss", "kept"), (6, 1): ("EMAIL_5", "matched"), (6, 2): ("EMAIL_20", "kept"), (6, 3): ("EMAIL_21", "numbered")}
+    assert joined([], [(1, "EMAIL_1", [], e, ["b"])]) == {} and joined([(5, 1, "EMAIL_1", [], e, ["a"])], []) == {(5, 1): ("EMAIL_1", "kept")}
+
+
+def test_upsert_case(spark):
+    from spanloom.operators.cases import upsert_case
+
+    kind = "case_id int, pos int, alias string, previous array<string>, originals array<string>"
+
+    def merged(case, members):
+        rows = upsert_case(spark.createDataFrame([(1, *x) for x in case], kind), spark.createDataFrame([(1, *x) for x in members], kind)).collect()
+        return {r.alias: (r.previous, r.originals) for r in rows}
+
+    case = [(1, "P_1", ["OLD_1"], ["ann"]), (2, "P_2", [], ["bob"]), (3, "P_3", [], ["cy"]), (4, "P_4", ["P_40"], [])]
+    assert merged(case, [(1, "OLD_1", [], ["Ann"])])["OLD_1"] == (["P_1"], ["Ann", "ann"])  # the earlier alias is the same identity
+    assert merged(case, [(1, "X_9", [], ["bob", "Bob"])])["X_9"] == (["P_2"], ["Bob", "bob"])  # by wording
+    assert merged(case, [(1, "P_1", ["P_3"], ["ann"])]) == {"P_1": (["OLD_1", "P_3"], ["ann", "cy"]), "P_2": ([], ["bob"]), "P_4": (["P_40"], [])}  # absorbed
+    assert merged(case, [(1, "N_1", ["P_40"], ["dan"])]) == {"P_1": (["OLD_1"], ["ann"]), "P_2": ([], ["bob"]), "P_3": ([], ["cy"]), "P_4": (["P_40"], [])}  # forgotten stays forgotten
+    assert merged(case, [(1, "Z_1", [], ["zoe"])])["Z_1"] == ([], ["zoe"]) and len(merged([], [(1, "Z_1", [], ["zoe"])])) == 1
+    assert merged(case, [])["P_1"] == (["OLD_1"], ["ann"])
+
+
+def test_mappings_with_repeats_and_nulls(spark):
+    docs = spark.createDataFrame([(1, "to a@x.org and b@x.org"), (1, "b@x.org."), (None, "a@x.org"), (2, None)], "doc_id int, text string")
+    mapping = spark.createDataFrame([(1, "a@x.org", "EMAIL_2"), (1, "a@x.org", "EMAIL_1"), (1, None, "EMAIL_3"), (1, "b@x.org", None), (2, "a@x.org", "EMAIL_9")], "doc_id int, key string, value string")
+    got = rewrite.pseudonymize(docs, mapping, recognizers.EMAIL, F.lower).collect()
+    assert sorted((r.pseudonymized or "", r.n_replaced) for r in got) == [("", 0), ("a@x.org", 0), ("b@x.org.", 0), ("to EMAIL_1 and b@x.org", 1)]
+
+
+def test_long_wordings_on_the_list(spark):
+    docs = spark.createDataFrame([(1, "Then Mary  Ann\nLewis, and mary ann."), (2, None), (3, "")], "doc_id int, text string")
+    listed = spark.createDataFrame([("Mary Ann Lewis",), ("mary ann",), ("--",), ("then mary ann lewis and mary",)], "key string")
+    assert sorted((r.doc_id, r.word_no, r.key) for r in always_mentions(docs, listed).collect()) == [(1, 0, "then mary ann lewis and mary"), (1, 1, "Mary Ann Lewis"), (1, 1, "mary ann"), (1, 5, "mary ann")]

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from spanloom.functions.spans import chunks
 from spanloom.operators import names, rules, windows
 
 SPANS = "array<struct<start:int,end:int,text:string,category:string>>"
@@ -18,7 +19,7 @@ def test_labels(spark):
 def test_span_filters(spark):
     text = "He met Ann. Bob left_x and Cy."
     df = spark.createDataFrame([(text, [(7, 10, "Ann", "PERSON"), (12, 15, "Bob", "PERSON"), (16, 20, "left", "ORG"), (0, 2, "He", "PERSON")])], f"t string, s {SPANS}")
-    row = df.select(F.transform("s", lambda s: rules.mid_sentence(F.col("t"), s)).alias("m"), F.transform("s", lambda s: rules.whole_word(F.col("t"), s)).alias("w")).first()
+    row = df.select(F.transform("s", lambda s: rules.mid_sentence(chunks(F.col("t")), s)).alias("m"), F.transform("s", lambda s: rules.whole_word(chunks(F.col("t")), s)).alias("w")).first()
     assert row.m == [True, False, True, False] and row.w == [True, True, False, True]
     words = spark.createDataFrame([("MOCKBA",), ("МОСКВА",), ("Boston",)], "w string")
     assert [r[0] for r in words.select(rules.lookalike_key(F.col("w")) == "москва").collect()] == [True, True, False]
