@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
-Every step is a group-by over edges with the smallest neighbour found by a partial aggregate, so a vertex with
-very many edges never meets them in one task; each round halves what is left of long chains. Rounds are cut with
+Every step finds the smallest neighbours by a partial aggregate and joins them back to the edges. The edges of a vertex that has
+very many share a join key; they are independent rows, which Spark's adaptive joins part over tasks (the neighbours' side has one
+row for the key). Each round halves what is left of long chains. Rounds are cut with
 reliable checkpoints, as a lost executor would otherwise replay all of them.
 """
 

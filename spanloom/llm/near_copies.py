@@ -38,6 +38,8 @@ LIKELY = 36
 BLOCK = 1 << 20
 #: Shingles whose min-hashes are made at a time.
 CHUNK = 4096
+#: Rows of bands that a task compares at a time.
+BUCKET_ROWS = 200_000
 
 _RNG = np.random.default_rng(20250805)
 _A = _RNG.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,9 +188,9 @@ def _fingerprint_links(sets: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """id: the smallest doc_id of each class of near-duplicates, of docs whose ids tell the rows apart."""
-    buckets = 4 * partitions(docs.sparkSession)
     prints = _sketches(docs, doc_id, text).groupBy("whole").agg(F.min_by(F.struct("size", "bands", "sketch", "fp"), "doc_id").alias("s"), F.min("doc_id").alias("id"))
     sets = checkpoint(prints.select("id", "s.*"))
+    buckets = max(4 * partitions(docs.sparkSession), sets.count() * BANDS // BUCKET_ROWS) + 1
     likely = components(_fingerprint_links(sets).unionByName(_likely(sets.select("id", "sketch", F.posexplode("bands").alias("p", "v")), buckets)))
     groups = checkpoint(likely.join(sets.select("id", "size"), F.col("vertex") == F.col("id")).select("id", F.col("component").alias("g"), "size"))
     blocks = groups.groupBy("g").agg(F.ceil(F.sum("size") / block).cast("int").alias("m"))

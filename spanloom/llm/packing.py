@@ -9,7 +9,11 @@ cuts are free; the very last tokens of a group go to sequences whose lengths are
 A task packs groups of GROUP_TOKENS ids, so its memory is bounded, and groups never meet: nothing is shuffled, and
 no key can gather rows. sequence_id holds the task's partition in its upper bits.
 
-Defined cases: a null or empty text is the end id alone; repeated rows are packed each; an empty table gives no pieces.
+Ids come from the merges' ranks; a file whose ids don't follow its merges is refused.
+
+Defined cases: a null or empty text is the end id alone; repeated rows are packed each; a text of any length is cut into as many
+windows as it fills; of equal remainders the last read is taken first; columns beside the id and the text are ignored; an empty table
+gives no pieces.
 """
 
 from __future__ import annotations
@@ -127,6 +131,10 @@ class Ids:
         of_char = {c: b for b, c in enumerate(byte_chars())}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         # ids follow the merges' order, so they are the ranks
+        merges = [m.replace(" ", "", 1) if isinstance(m, str) else "".join(m) for m in file["model"]["merges"]]
+        found = [file["model"]["vocab"][m] for m in merges]
+        if sorted(set(found)) != list(dict.fromkeys(found)):
+            raise ValueError(f"{path}: ids don't follow the merges")
         ranks = {bytes(of_char[c] for c in s): i for s, i in file["model"]["vocab"].items() if s not in self.special}
         self.core = tiktoken.Encoding("ids", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.known: dict[bytes, list[int]] = {}

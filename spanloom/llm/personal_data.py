@@ -5,8 +5,10 @@ a short list of titles. It is trained by maximum likelihood (forward-backward, g
 table and decoded by Viterbi in numpy, all lines of a block at once. Whole texts are decoded; a line of any length is one
 sequence.
 
-Defined cases: a null text is empty and has no spans; repeated rows are scanned each; an empty table gives no rows. Names
-that overlap a pattern's span are left out; pattern spans are never changed.
+Defined cases: a null text is empty and has no spans (redact keeps it null); repeated rows are scanned each; a text of any length is
+scanned whole, in a block of its own; spans that start together come in the order of KINDS, and redact names an overlap after the
+first; columns beside the id and the text are ignored by find and kept by redact, whatever their names; an empty table gives no rows.
+Names that overlap a pattern's span are left out; pattern spans are never changed.
 """
 
 from __future__ import annotations
@@ -142,12 +144,13 @@ def word_class(word: str) -> int:
 
 
 def _parts(cls: int) -> tuple[int, ...]:
-    """The features of a class as columns of the weights (one column more for a line's edge)."""
+    """The features of a class as columns of the weights (two columns more: a line's edge, and any title, which titles that the
+    table lacks share with the others)."""
     if cls == EDGE:
         return (sum(WIDTHS),)
     rest, title = divmod(cls, WIDTHS[2])
     shape, end = divmod(rest, WIDTHS[1])
-    return shape, WIDTHS[0] + end, WIDTHS[0] + WIDTHS[1] + title
+    return (shape, WIDTHS[0] + end, WIDTHS[0] + WIDTHS[1] + title, *[sum(WIDTHS) + 1] * (title > 0))
 
 
 class Field:
@@ -202,7 +205,7 @@ def train(epochs: int = 40, rate: float = 0.3, decay: float = 1e-3) -> Field:
     for words, labels in labelled_table():
         key = (tuple(word_class(w) for w in words), tuple(labels))
         lines[key] = lines.get(key, 0) + 1
-    weights, moves = np.zeros((3, sum(WIDTHS) + 1, LABELS)), np.zeros((LABELS, LABELS))
+    weights, moves = np.zeros((3, sum(WIDTHS) + 2, LABELS)), np.zeros((LABELS, LABELS))
     seen_w, seen_m = np.full_like(weights, 1e-6), np.full_like(moves, 1e-6)
     total = sum(lines.values())
     for _ in range(epochs):

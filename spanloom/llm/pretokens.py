@@ -15,12 +15,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+from tokenizers import pre_tokenizers
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Code points of a block; bounds a task's memory, whatever the partition's size. A longer text is a block alone.
 BLOCK_CHARS = 3_000_000
 
 
+@functools.cache
+def unassigned() -> np.ndarray:
+    """Code points that this Python's tables don't know; a library with newer ones may."""
+    return np.fromiter((unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)), bool, 0x110000)
+
+
 @functools.cache
 def classes() -> np.ndarray:
     table = np.zeros(0x110000, np.uint8)
@@ -29,6 +36,14 @@ def classes() -> np.ndarray:
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
             for m in regex.finditer(pattern, chars):
                 table[low + m.start() : low + m.end()] = kind
+    # where the pattern module knows characters that Python's tables don't, its Unicode version may be ahead of the tokenizers'
+    # library too, so that library is asked: does the character go with a letter, or with a digit?
+    new = np.flatnonzero(unassigned() & (table != OTHER))
+    split = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str
+    for part in np.array_split(new, max(len(new) // 1000, 1)):
+        starts = {s for _, (s, _) in split("".join(f"a{chr(c)}\n1{chr(c)}\n" for c in part))}
+        for k, c in enumerate(part.tolist()):
+            table[c] = LETTER if 6 * k + 1 not in starts else NUMBER if 6 * k + 4 not in starts else OTHER
     return table
 
 
@@ -83,7 +98,17 @@ def _starts(cp: np.ndarray, segment: np.ndarray, spaced: bool) -> tuple[np.ndarr
     return start, cls
 
 
-def _block(texts: list[str], spaced: bool, special: tuple[str, ...]) -> Block:
+def lowered(piece: str, library=None) -> str:
+    """piece as the lower-casing vocabulary's normalizer has it, white space apart; library (of the tokenizers file) does it where
+    Python's tables are too old."""
+    if piece.isascii():
+        return piece.lower()
+    if library is not None and unassigned()[np.frombuffer(piece.encode("utf-32-le"), np.uint32)].any():
+        return library.normalize_str(piece)
+    return unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+
+
+def _block(texts: list[str], spaced: bool, special: tuple[str, ...], library=None) -> Block:
     pieces, owner, marked = [], [], []
     for k, t in enumerate(texts):
         if any(s in t for s in special):
@@ -97,7 +122,7 @@ def _block(texts: list[str], spaced: bool, special: tuple[str, ...]) -> Block:
             owner.append(k)
     if not spaced:
         kept = set(marked)
-        pieces = [p if k in kept else unicodedata.normalize("NFC", p).replace("Σ", "σ").lower() for k, p in enumerate(pieces)]
+        pieces = [p if k in kept else lowered(p, library) for k, p in enumerate(pieces)]
     if not pieces:
         return Block([], np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64))
     joined = "".join(pieces)
@@ -130,16 +155,16 @@ def _block(texts: list[str], spaced: bool, special: tuple[str, ...]) -> Block:
     return Block(coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(document, np.arange(len(texts) + 1)))
 
 
-def blocks(texts: list[str | None], spaced: bool, special: tuple[str, ...]) -> Iterator[tuple[int, int, Block]]:
-    """(from, to, block) over the texts in order; a null text is empty."""
+def blocks(texts: list[str | None], spaced: bool, special: tuple[str, ...], library=None) -> Iterator[tuple[int, int, Block]]:
+    """(from, to, block) over the texts in order; a null text is empty. library: a normalizer, for pieces beyond Python's tables."""
     begin, size = 0, 0
     for k, t in enumerate(texts):
         if size and size + len(t or "") > BLOCK_CHARS:
-            yield begin, k, _block([x or "" for x in texts[begin:k]], spaced, special)
+            yield begin, k, _block([x or "" for x in texts[begin:k]], spaced, special, library)
             begin, size = k, 0
         size += len(t or "")
     if begin < len(texts):
-        yield begin, len(texts), _block([x or "" for x in texts[begin:]], spaced, special)
+        yield begin, len(texts), _block([x or "" for x in texts[begin:]], spaced, special, library)
 
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

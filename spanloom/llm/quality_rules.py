@@ -5,8 +5,8 @@
 text again, and an ablation is an aggregation of bits. Built-in functions only.
 
 Defined cases: a null text counts as empty (no words, so it fails ``few_words``); an empty table gives an empty
-ledger; repeated rows are judged each on its own; columns beside the id and the text are ignored by the ledger
-and kept by ``keep``.
+ledger; repeated rows are judged each on its own; a text of any length is measured whole; nothing depends on order, so
+there are no ties; columns beside the id and the text, however named, are ignored by the ledger and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from spanloom.llm.common import SPACE_RE, documents, let, texts
 SYMBOLS = "#*$%&|<>"
 
 
-
 def _rules() -> list[tuple[str, Column]]:
     c = F.col
     return [
@@ -59,33 +58,45 @@ def _covered(starts: Column) -> Column:
     return F.when(F.size(starts) == 0, F.lit(0)).otherwise(F.lit(3) + F.aggregate(gaps, F.lit(0), lambda s, x: s + x.cast("int")))
 
 
-def _repeated_starts(ranked: Column, key, place) -> Column:
-    """Starts, ascending, of windows whose key is next to an equal one in ranked."""
-    n = F.size(ranked)
-    same = lambda a, b: key(F.get(ranked, a)) == key(F.get(ranked, b))
-    at = F.filter(F.sequence(F.lit(0), n - 1), lambda k: ((k > 0) & same(k, k - 1)) | ((k < n - 1) & same(k, k + 1)))
-    return F.sort_array(F.transform(at, lambda k: place(F.get(ranked, k))))
+def _repeated_at(n: Column, same) -> Column:
+    """Places in a sorted array of n whose entry is next to an equal one."""
+    return F.filter(F.sequence(F.lit(0), n - 1), lambda k: ((k > 0) & same(k, k - 1)) | ((k < n - 1) & same(k, k + 1)))
 
 
-def _repeat_words(h: Column) -> Column:
-    """Words in 3-word windows found twice or more, from the windows' hashes: sorting brings equal ones together.
+def _repeat_words(h: Column, w: Column) -> Column:
+    """Words in 3-word windows found twice or more; the windows' words decide.
 
-    Up to a million words, hash and place share one long, which sorts fastest; beyond, they are a struct.
+    Sorting brings equal windows together. It is fast over hashes that share a long with the place, and right if all neighbours with
+    equal hashes have equal words. Where any have not, and where places need more bits, the windows are sorted by their words.
     """
     bits = 20
+    low = F.lit((1 << bits) - 1)
+    words = lambda i: F.struct(F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"))
+    spelt = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: F.struct(words(i).alias("w"), i.alias("i"))))
+
+    def exact(r: Column) -> Column:
+        at = _repeated_at(F.size(r), lambda a, b: F.get(r, a)["w"] == F.get(r, b)["w"])
+        return let(F.sort_array(F.transform(at, lambda k: F.get(r, k)["i"].cast("long"))), _covered)
+
+    def fast(r: Column) -> Column:
+        key, place = lambda k: F.shiftright(F.get(r, k), bits), lambda k: F.get(r, k).bitwiseAND(low)
+        same = lambda a, b: key(a) == key(b)
+        differ = lambda k: (k > 0) & same(k, k - 1) & (words(place(k).cast("int")) != words(place(k - 1).cast("int")))
+        judged = lambda at: F.when(F.exists(at, differ), let(spelt, exact)).otherwise(let(F.sort_array(F.transform(at, place)), _covered))
+        return let(_repeated_at(F.size(r), same), judged)
+
     packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, bits).bitwiseOR(i.cast("long"))))
-    short = let(let(packed, lambda r: _repeated_starts(r, lambda v: F.shiftright(v, bits), lambda v: v.bitwiseAND(F.lit((1 << bits) - 1)))), _covered)
-    pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
-    long = let(let(pairs, lambda r: _repeated_starts(r, lambda v: v["h"], lambda v: v["i"])), _covered)
-    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) < 1 << bits, short).otherwise(long)
+    return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).when(F.size(h) < 1 << bits, let(packed, fast)).otherwise(let(spelt, exact))
 
 
-def measurements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and what the rules measure. Each step is its own projection, so arrays are made once."""
+def measurements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window_hash=None) -> DataFrame:
+    """doc_id and what the rules measure. Each step is its own projection, so arrays are made once. window_hash: of three words; which one
+    is used makes no difference to the result."""
     t, w = F.col("text"), F.col("w")
     chars = F.length(t).cast("long")
     less = lambda these: (chars - F.length(F.regexp_replace(t, these, ""))).cast("long")
-    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    window_hash = window_hash or F.xxhash64
+    hashes = lambda i: window_hash(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
     counted = texts(docs, doc_id, text).select(
         "doc_id",
         F.array_remove(F.split(t, SPACE_RE), "").alias("w"),
@@ -103,9 +114,10 @@ def measurements(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "n_upper",
         "n_exclamations",
         F.size("l").cast("long").alias("n_lines"),
-        F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)).alias("h"),
+        F.when(F.size(w) < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.size(w) - 3), hashes)).alias("h"),
+        "w",
     )
-    return hashed.withColumn("n_repeat_words", _repeat_words(F.col("h")).cast("long")).drop("h")
+    return hashed.withColumn("n_repeat_words", _repeat_words(F.col("h"), F.col("w")).cast("long")).drop("h", "w")
 
 
 def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,8 @@ swapped for another character of the same length first), the text is split at th
 of the pieces give code-point offsets.
 
 Defined cases: a null text is empty; no span gives empty ``spans`` and the digest of the empty string; repeated
-rows are scanned each; an empty table gives an empty result.
+rows are scanned each; a text of any length is scanned whole; spans that start together come in the order of KINDS; columns beside
+the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,12 +28,12 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = "AKIA[A-Z0-9]{12,}"
 HEX = "(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
-#: Strings that the Markov models judge: long enough to be keys. Shorter ones can't be told from words.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
+#: Strings that the Markov models judge: of 16 characters random strings are told from identifiers in 99 of 100 cases (test_scans.py).
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SIZE = len(ALPHABET) + 1
 #: Mean log-likelihood ratio (nats a character) from which a token counts as random.
-THRESHOLD = 0.35
+THRESHOLD = 0.65
 MARK, SWAP = "\ue000", "\ue001"
 SPANS = "array<struct<s:int,k:int,e:int>>"
 

@@ -11,7 +11,8 @@ than HOT fingerprints share is dealt out again by the other bits, which must agr
 reduced to a spanning forest on the spot, so that the output never holds all pairs of a group.
 
 Defined cases: a null text, or one without words, has fingerprint zero and links like any other; equal texts have
-equal fingerprints; repeated rows are one class; an empty table gives an empty result.
+equal fingerprints; repeated rows are one class; a bit set in exactly half of the shingles is 0; a text of any length is
+hashed whole; columns beside the id and the text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ HOT = 8192
 CANDIDATES = 200
 #: Shingles whose bits are counted at a time.
 CHUNK = 65536
+#: Parts that a plan may have (one more than DISTANCE leaves a part unprobed), and bits that may differ in a probed part.
+MOST_PARTS, MOST_BITS = 5, 2
+#: Rows that a task compares at a time.
+BUCKET_ROWS = 1_000_000
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
@@ -146,13 +151,13 @@ def _neighbours(n: int, within: int) -> list[int]:
 
 
 def plan(distinct: DataFrame) -> list[tuple[list[int], int]]:
-    """Parts (bits, threshold) to probe, chosen over 2, 3 and 4 parts by estimated rows and candidates.
+    """Parts (bits, threshold) to probe, chosen over 2 to MOST_PARTS parts and thresholds up to MOST_BITS by estimated rows and candidates.
 
     The candidates of a part at threshold t are estimated from the collisions of its values, over all distinct
     fingerprints: pairs on the same value, times the values within t.
     """
     chain = order_bits(distinct)
-    choices = {m: [chain[64 * i // m : 64 * (i + 1) // m] for i in range(m)] for m in (2, 3, 4)}
+    choices = {m: [chain[64 * i // m : 64 * (i + 1) // m] for i in range(m)] for m in range(2, MOST_PARTS + 1)}
     flat = [(m, i, bits) for m, parts in choices.items() for i, bits in enumerate(parts)]
     keyed = _keyed(distinct, [(bits, 0) for _, _, bits in flat]).withColumnRenamed("p", "k")
     counts = keyed.groupBy("k", "v").agg(F.count("*").alias("c")).groupBy("k").agg(F.sum("c").alias("n"), F.sum(F.col("c").cast("double") * (F.col("c") - 1) / 2).alias("pairs")).collect()
@@ -164,7 +169,7 @@ def plan(distinct: DataFrame) -> list[tuple[list[int], int]]:
             if flat[k][0] == m:
                 n, pairs = found.get(k, (0, 0.0))
                 row = [0.0]
-                for t in range(2):  # no choice of parts needs more than 1 each
+                for t in range(MOST_BITS + 1):
                     probes = len(_neighbours(len(bits), t))
                     row.append(n * probes + pairs * probes / CANDIDATES)
                 costs.append(row)
@@ -256,10 +261,11 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Links (a, b) among distinct fingerprints fp (a long each) that connect exactly what all links would."""
     parts = plan(distinct)
     keyed = _keyed(distinct, parts)
+    rows = distinct.count() * sum(len(_neighbours(len(bits), t)) for bits, t in parts)
     others = {p: [b for b in range(64) if b not in bits] for p, (bits, _) in enumerate(parts)}
     while dealt := _deal_hot(keyed, others, hot):
         keyed, others = dealt
-    return _links(keyed, 4 * partitions(distinct.sparkSession))
+    return _links(keyed, max(4 * partitions(distinct.sparkSession), rows // BUCKET_ROWS) + 1)
 
 
 def classes(prints: DataFrame) -> DataFrame:

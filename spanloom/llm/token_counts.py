@@ -1,11 +1,13 @@
 """Token counts without ids: pieces per distinct pre-token, joined to per-document pre-token frequencies.
 
-A block of documents becomes a sparse table of frequencies (document, pre-token); the pieces of each distinct
-pre-token are counted once, and the product of the two, summed per document, is its number of tokens. No list of
-ids exists at any time. Counts are kept between a task's blocks. Blocks never meet, so nothing is shuffled: a
-table of counts shared by the whole corpus would have to be joined to a row per block and pre-token.
-
-Defined cases: a null or empty text has 0 tokens; repeated rows are counted each; empty tables give no rows.
+A block of documents becomes a table of distinct pre-tokens and a sparse one of frequencies (document, pre-token); the pieces of
+each distinct pre-token are counted once, joined to the frequencies by its number, and summed per document. No list of ids exists at
+any time. Counts are kept between a task's blocks, so a task counts a pre-token once for up to REMEMBERED of them. Blocks never
+meet and nothing is shuffled: one table of counts for the whole corpus would need a shuffled row per document and distinct
+pre-token (README has the figures).
+
+Defined cases: a null or empty text has 0 tokens; repeated rows are counted each; a text of any length is counted whole, in a block
+of its own; nothing depends on order, so there are no ties; columns beside the id and the text are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ class PieceCounter:
     def __init__(self, path: str, special: tuple[str, ...]) -> None:
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path).model
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.normalizer = tokenizer.model, tokenizer.normalizer
         self.table = dict(enumerate(byte_chars()))
         self.known = {s.encode(): 1 for s in special}
         self.special = dict(self.known)
@@ -70,7 +73,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
         counter = _counter(path)
         for batch in batches:
             values = batch.column("text").to_pylist()
-            for a, b, block in pretokens.blocks(values, spaced=False, special=WORD_SPECIAL):
+            for a, b, block in pretokens.blocks(values, spaced=False, special=WORD_SPECIAL, library=counter.normalizer):
                 pieces = counter.counts(block.distinct)
                 tokens = pretokens.sums(pieces[block.codes], block.first)
                 size = [len(t.encode()) for t in values[a:b]]

@@ -82,6 +82,24 @@ def test_links_of_dense_groups(spark, hot):
     assert smallest([(r.a, r.b) for r in found], signed) == smallest(links, signed)
 
 
+def test_op8(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    fps = {k: brute_fingerprint(t) for k, t in docs.items()}
+    expected = smallest([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3], fps)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.op8_simhash_near_dedup(spark, small).collect()}
+    assert got == {k: (f"{fps[k]:016x}", expected[k]) for k in docs}
+
+
+def test_plans_cover_every_link(spark):
+    """Whatever parts and thresholds a plan has: fingerprints within the distance agree on some probed part to within its threshold."""
+    random.seed(6)
+    fps = [random.getrandbits(64) for _ in range(300)]
+    near = [(x, x ^ sum(1 << b for b in random.sample(range(64), random.randint(0, 3)))) for x in fps]
+    rows = [(int(np.array(x, np.uint64).view(np.int64)),) for pair in near for x in pair]
+    parts = simhash.plan(spark.createDataFrame(rows, "fp long").distinct())
+    assert all(any(sum((a ^ b) >> k & 1 for k in bits) <= t for bits, t in parts) for a, b in near)
+
+
 def test_allocate():
     assert simhash.allocate([[0, 1, 9], [0, 5, 9], [0, 1, 2]], 1) == [0, 0, 1]
     assert sum(simhash.allocate([[0, 3, 4]] * 4, 0)) == 0

@@ -70,13 +70,59 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
-def test_markov(spark):
+def identifiers():
+    """Names that the models have never seen: the standard library's, joined and numbered as code does."""
+    import email.message
+    import http
+    import os
+    import socket
+    import ssl
+    import statistics
+
+    random.seed(21)
+    names = sorted({x.strip("_") for m in (email.message, http, os, socket, ssl, statistics, str, dict) for x in dir(m) if len(x.strip("_")) > 3 and not re.search("[0-9]", x)})
+    joined = [random.choice("_-/").join(random.sample(names, random.randint(2, 4))) + random.choice(["", "_", "v"]) + str(random.randint(1, 99)) for _ in range(600)]
+    return [x for x in joined if 16 <= len(x) <= 48]
+
+
+def test_markov_on_held_out_strings(spark):
+    """Recall of random strings of several kinds and lengths, and false alarms on identifiers, none of them from the training table."""
     random.seed(4)
-    keys = ["".join(random.choice(secrets.ALPHABET[:62]) for _ in range(32)) for _ in range(100)]
-    names = ["".join(random.choice(["user", "Name", "order", "_list", "Count", "value", "Index", "item"]) for _ in range(6)) + str(k) for k in range(100)]
-    df = spark.createDataFrame(list(enumerate([*keys, *names])), "doc_id long, text string")
+    letters = secrets.ALPHABET[:62]
+    kinds = {"letters and digits": letters, "base64": letters + "+/", "lower case": letters[26:], "hexadecimal": "0123456789abcdef"}
+    keys = [(k, n, "".join(random.choice(a) for _ in range(n))) for k, a in kinds.items() for n in (16, 20, 24, 31) for _ in range(60)]
+    keys = [x for x in keys if re.search("[0-9]", x[2]) and re.search("[A-Za-z]", x[2])]
+    plain = identifiers()
+    df = spark.createDataFrame(list(enumerate(["say " + x[2] + " ok" for x in keys] + plain)), "doc_id long, text string")
     found = {r.doc_id for r in secrets.scan(df).where("size(extra) > 0").collect()}
-    assert len([k for k in found if k < 100]) >= 90 and len([k for k in found if k >= 100]) <= 3
+    caught = [k in found for k in range(len(keys))]
+    alarms = sum(k >= len(keys) for k in found)
+    assert sum(caught) >= 0.98 * len(keys) and alarms <= 0.03 * len(plain)
+    for kind in kinds:
+        mine = [c for c, x in zip(caught, keys, strict=True) if x[0] == kind]
+        assert sum(mine) >= 0.95 * len(mine)
+
+
+def test_op5(spark, small):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    kinds = secrets.KINDS
+    for r in secrets.op5_secret_scans(spark, small).collect():
+        base = brute_secrets(docs[r.doc_id])
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in base) for k in range(3)]
+        written = ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in base)
+        assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
+        assert set(filter(None, written.split(","))) <= set(filter(None, r.spans.split(",")))
+        assert [x for x in r.spans.split(",") if x and not x.startswith("markov")] == [x for x in written.split(",") if x]
+
+
+def test_rules_when_hashes_collide(spark):
+    """Windows are told apart by their words, whatever their hashes say."""
+    from pyspark.sql import functions as F
+
+    texts = made(9, ["ab ", "cd ", "ef ", "gh "], 60, 40)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in quality_rules.measurements(df, window_hash=lambda a, b, c: F.pmod(F.xxhash64(a, b, c), F.lit(7))).collect():
+        assert r.n_repeat_words == brute_rules(texts[r.doc_id])[4]
 
 
 def brute_personal(text):
@@ -109,6 +155,23 @@ def test_names(spark):
     assert masked[0] == "Please call Mr. [NAME] today." and masked[2] is None and personal_data.redact(df).columns == df.columns
 
 
+def test_names_held_out(spark):
+    """Precision and recall on names and lines that the labelled table doesn't have."""
+    random.seed(22)
+    first = ["Olga", "Victor", "Amélie", "Bruno", "Greta", "Stefan", "Pilar", "Henrik", "Yvonne", "Duncan", "Mercedes", "Theo"]
+    last = ["Kowalski", "Nguyen", "Oberhofer", "Lindqvist", "Marchetti", "Castellanos", "Fontaine", "Abernathy", "Zimmermann", "Echeverría"]
+    lines = ["We thank Mr. {} for the help.", "Dr. {} called twice.", "Name: {}", "Dear Ms. {},", "Yesterday Frau {} left.", "Patient: {}", "The chair, Prof. {}, agreed.", "Attn: {}", "Author: {}", "Signed, {}"]
+    plain = ["The Committee met in Vienna on Tuesday.", "Please see Annex B for the details.", "Our Terms and Conditions apply.", "In the North Sea the wind rose.", "Nothing was said. The Court rose.", "All rights reserved.", "Le Conseil a dit non.", "Die Antwort kam spät."]
+    rows, gold = [], {}
+    for k in range(200):
+        name = f"{random.choice(first)} {random.choice(last)}"
+        rows.append((k, random.choice(plain) + "\n" + random.choice(lines).format(name) + "\n" + random.choice(plain)))
+        gold[k] = name
+    found = {r.doc_id: [rows[r.doc_id][1][x.start : x.end] for x in r.spans] for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    right = sum(found[k].count(gold[k]) for k in gold)
+    assert right >= 0.9 * len(gold) and right >= 0.9 * sum(map(len, found.values()))
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 

@@ -125,3 +125,51 @@ def test_block_of_nothing():
     assert list(pretokens.blocks([], True, ())) == []
     (_, _, block), *_ = pretokens.blocks(["", None], True, ())
     assert block.distinct == [] and block.first.tolist() == [0, 0, 0]
+
+
+def test_every_code_point():
+    """A text for each code point that Python's tables don't know, and for a share of the others, counts as the library counts it."""
+    library = Tokenizer.from_file(public_tokenizers.path(WORDS))
+    counter = token_counts.PieceCounter(public_tokenizers.path(WORDS), token_counts.WORD_SPECIAL)
+    odd = [c for c in range(0x110000) if pretokens.unassigned()[c]]
+    points = [*odd[::97], 0xA7CB, 0xA7DC, 0x105D2, *[c for c in range(0, 0x110000, 41) if not 0xD800 <= c < 0xE000]]
+    values = [f"a{chr(c)}B {chr(c)}{chr(c)} x" for c in points]
+    expected = [len(e.ids) for e in library.encode_batch(values, add_special_tokens=False)]
+    found = []
+    for _, _, block in pretokens.blocks(values, spaced=False, special=token_counts.WORD_SPECIAL, library=counter.normalizer):
+        found += pretokens.sums(counter.counts(block.distinct)[block.codes], block.first).tolist()
+    assert [hex(c) for c, a, b in zip(points, found, expected, strict=True) if a != b] == []
+    byte, automaton, ids = Tokenizer.from_file(public_tokenizers.path(BYTES)), bpe.compile_merges(public_tokenizers.path(BYTES)), packing.Ids(public_tokenizers.path(BYTES))
+    expected = [e.ids for e in byte.encode_batch(values, add_special_tokens=False)]
+    (_, _, block), *_ = pretokens.blocks(values, spaced=True, special=())
+    packed = [x.tolist()[:-1] for x in ids.of_block(block, 1)]
+    run = [[i for c in block.codes[a:b] for i in automaton.encode_word(block.distinct[c])] for a, b in zip(block.first[:-1], block.first[1:], strict=True)]
+    assert packed == expected and run == expected
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_other_ids(spark, kind):
+    """Ids of other types come back as they are."""
+    rows = [(5 if kind == "int" else "five", "some words here", "x"), (None, None, "y")]
+    df = spark.createDataFrame(rows, f"doc_id {kind}, text string, _row string")
+    path = public_tokenizers.path(BYTES)
+    for out in (token_counts.token_counts(df, public_tokenizers.path(WORDS)), bpe.round_trip(df, path), bpe.encoded(df, path), packing.pack(df, path)):
+        assert {r.doc_id for r in out.collect()} == {rows[0][0], None} and out.schema["doc_id"].dataType == df.schema["doc_id"].dataType
+
+
+def test_entry_queries(spark, small):
+    """op4, op6 and op9 over the whole small table against the library."""
+    words, byte = Tokenizer.from_file(public_tokenizers.path(WORDS)), Tokenizer.from_file(public_tokenizers.path(BYTES))
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in token_counts.op4_token_counts(spark, small).collect():
+        n = len(words.encode(docs[r.doc_id], add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 2048)
+    for r in bpe.op9_bpe_automaton(spark, small).collect():
+        ids = byte.encode(docs[r.doc_id], add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(byte.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    pieces = packing.op6_packing(spark, small).collect()
+    for r in pieces:
+        ids = byte.encode(docs[r.doc_id], add_special_tokens=False).ids + [1]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[r.start : r.start + r.length]))
+    assert sum(r.length for r in pieces) == sum({r.doc_id: r.doc_tokens for r in pieces}.values()) and {r.doc_id for r in pieces} == set(docs)
