@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
+from spanloom.operators.syntax import read_inline
 from spanloom.sources.tables import table
 
 STRIDE, WINDOW_WORDS = 96, 128
@@ -150,13 +151,107 @@ BROKEN_LINE = re.compile(r"(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[^\W\d_])")
 FOOTNOTE = re.compile(r"\[\^[^\]\s]+\](?!:)")
 
 
+CAPITAL = "[A-ZÀ-ÖØ-Þ]", "[Ѐ-Я]"
+SPACED = re.compile("|".join(rf"(?<!\w){c}(?: {c})+(?: {{2,}}{c}(?: {c})+)*(?!\w)" for c in CAPITAL))
+NOTE_MARK = re.compile(r"(?<=[^\W\d_])(?=[¹²³⁰⁴-⁹])")
+MOJIBAKE = re.compile(r"(?<=[^\W\d_])Â+(?!\w)")
+BETWEEN_MARKS = re.compile(r"(?<=\w)(\*{1,3}|_{1,3}) \1(?=\w)")
+SMALL_TAG = re.compile(r"</?su[bp]>", re.I)
+DESTINATION = re.compile(r"\]\((?!(?:mailto|tel|data|javascript):)([^()\s]*)")
+PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+|_")
+DELIMITER_ROW = re.compile(r" {0,3}\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
+PIPE = re.compile(r"(?<!\\)\|")
+#: Column headers that name an identifier.
+IDENTIFIER_HEADERS = frozenset(
+    "паспорт|паспорт рф|номер паспорта|серия и номер|инн|снилс|огрн|огрнип|кпп|бик|счет|номер счета|расчетный счет|р/с|карта|номер карты|полис|телефон|номер телефона|e-mail|email|почта|"
+    "tax id|tin|ein|ssn|ni number|passport|passport number|account|account number|bank account|iban|sort code|routing number|card|card number|policy|policy number|phone|phone number|telephone".split("|")
+)
+
+
+def header_name(header: str) -> str:
+    """A column header in lower case without marks and 'No.'."""
+    return " ".join(w for w in re.sub("[*:#№]", " ", header.lower().replace("ё", "е")).split() if w not in ("no", "no."))
+
+
+def _spaced_words(text: str) -> list[tuple[int, int, str]]:
+    """Letter-spaced words ('И Н Н'): the spaces go where the run has a word of three letters and stands apart from words beside it."""
+    out = []
+    for m in SPACED.finditer(text):
+        before, after = text[: m.start()].rpartition("\n")[2], text[m.end() :].partition("\n")[0]
+        near = lambda side: bool(re.match(r"[*_~]*\s{0,2}[*_~]*[^\W_]", side))
+        if near(before[::-1]) or near(after) or not any(len(w) >= 5 for w in re.split(" {2,}", m[0])):
+            continue
+        out += [(m.start() + g.start(), m.start() + g.end(), "" if len(g[0]) == 1 else " ") for g in re.finditer(" +", m[0])]
+    return out
+
+
+def _headed_cells(text: str) -> list[tuple[int, int, str]]:
+    """Before each value with a digit or an at-sign in an identifier's column: its header, as an insertion."""
+    out, lines, at = [], text.split("\n"), 0
+    headers: list[str | None] = []
+    for k, line in enumerate(lines):
+        cells = PIPE.split(line.strip().removeprefix("|").removesuffix("|"))
+        if k + 1 < len(lines) and "|" in line and DELIMITER_ROW.match(lines[k + 1]) and len(PIPE.split(lines[k + 1].strip().removeprefix("|").removesuffix("|"))) == len(cells):
+            headers = [c.strip(" *:") if header_name(c) in IDENTIFIER_HEADERS else None for c in cells]
+        elif not line.strip():
+            headers = []
+        elif headers and not DELIMITER_ROW.match(line):
+            place = at + len(line) - len(line.lstrip()) + line.lstrip().startswith("|")
+            for cell, name in zip(cells, headers, strict=False):
+                if name and re.search("[0-9@]", cell):
+                    start = place + len(cell) - len(cell.lstrip())
+                    out.append((start, start, f"{name}: "))
+                place += len(cell) + 1
+        at += len(line) + 1
+    return out
+
+
+def _inline_joins(text: str) -> list[tuple[int, int, str]]:
+    """Marks inside or between emphasised words, which a reader doesn't see."""
+    out = [(m.start(), m.end(), " ") for m in BETWEEN_MARKS.finditer(text)] + [(m.start(), m.end(), "") for m in SMALL_TAG.finditer(text)]
+    if "*" in text:
+        for start, end, kind, n, m in read_inline(text):
+            # emphasis of a part of a word: its marks go on both sides
+            if kind in ("emphasis", "strong") and (text[end : end + 1].isalnum() or text[max(start - 1, 0) : start].isalnum()):
+                out += [(start, start + n, ""), (end - m, end, "")]
+    return out
+
+
+def _destinations(text: str) -> list[tuple[int, int, str]]:
+    """Link destinations as they read: percent codes decoded, underscores as spaces; opaque schemes are left alone."""
+    out = []
+    for m in DESTINATION.finditer(text):
+        for p in PERCENT.finditer(m[1]):
+            value = " " if p[0] == "_" else bytes.fromhex(p[0].replace("%", "")).decode("utf-8", "replace")
+            if "\ufffd" not in value:
+                out.append((m.start(1) + p.start(), m.start(1) + p.end(), value))
+    return out
+
+
+def decoded(text: str | None) -> str:
+    """A text as a scan reads it, without the way back."""
+    return read_view(text or "")[0]
+
+
+def wording(text: str | None) -> str:
+    """A value as a scan reads it, white space as one space, none at the ends."""
+    return " ".join(decoded(text).split())
+
+
+def discovery_view(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """A view with nothing but the joins of emphasised words: repeats are looked for in it, which other rewrites would make too many of."""
+    return _applied(text, _inline_joins(text))
+
+
 def read_view(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """A text as a scan reads it, with the edits (source start, end, view start, end) that lead back.
 
-    Character references are decoded, invisible characters dropped, full-width forms narrowed, base and marks composed,
-    words joined over a line-end hyphen, footnote references dropped.
+    Character references are decoded, invisible characters dropped, full-width forms narrowed, base and marks composed, words joined over
+    a line-end hyphen or letter by letter, footnote references dropped, marks inside emphasised words dropped, link destinations
+    decoded, note marks set apart, and identifier columns' headers repeated before their values. Where rewrites overlap, the first wins.
     """
-    rewrites: list[tuple[int, int, str]] = []
+    rewrites: list[tuple[int, int, str]] = _spaced_words(text) + _headed_cells(text) + _inline_joins(text) + _destinations(text)
+    rewrites += [(m.start(), m.start(), " ") for m in NOTE_MARK.finditer(text)] + [(m.start(), m.end(), " ") for m in MOJIBAKE.finditer(text)]
     for m in ENTITY.finditer(text):
         value = html.unescape(m[0])
         if value != m[0]:
@@ -178,8 +273,12 @@ def read_view(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
             elif c == "　":
                 rewrites.append((i, i + 1, " "))
             i = j
+    return _applied(text, rewrites)
+
+
+def _applied(text: str, rewrites: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, int, int]]]:
     out, edits, at, length = [], [], 0, 0
-    for s, e, value in sorted(rewrites):
+    for s, e, value in sorted(rewrites, key=lambda x: (x[0], x[0] < x[1], -x[1])):  # insertions, then the longest
         if s < at:
             continue
         out += [text[at:s], value]
@@ -206,6 +305,22 @@ def source_range(start: int, end: int, edits) -> tuple[int, int]:
     return back(start, True), back(end, False)
 
 
+def view_range(start: int, end: int, edits) -> tuple[int, int]:
+    """A source range in the view; a boundary inside a rewritten part takes all of what it reads as."""
+
+    def forth(at: int, low: bool) -> int:
+        shift = 0
+        for s, e, a, b in edits:
+            if at <= s if low else at < e or at == s == e:
+                return at + shift if at <= s else b
+            if at < e:
+                return a if low else b
+            shift += (b - a) - (e - s)
+        return at + shift
+
+    return forth(start, True), forth(end, False)
+
+
 EDIT = T.StructType([T.StructField(c, T.IntegerType()) for c in ("src_start", "src_end", "view_start", "view_end")])
 VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("edits", T.ArrayType(EDIT))])
 
@@ -224,11 +339,35 @@ def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REFERENCES = ["&amp;", "&lt;", "&gt;", "&quot;", "&#x27;", "&copy;", "&middot;", "&nbsp;", "&#39;"]
 _COUNT = {r: f"(len(string_split(html, '{r}')) - 1)" for r in _REFERENCES}
+
+READ = """concat('R', cast(o_orderkey % 9 as string), ' P A S S  N O:', ' Ann**a** **Lee** **Roe** X<sup>2</sup> said', '¹ and RosalindÂ, see [x](A_b%20c', cast(o_orderkey % 5 as string), '.pdf) or [y](mailto:a_b@ex.org).
+| Name | Passport |
+|---|---|
+| Ann | ', cast(o_orderkey as string), ' |
+| Bob | none |')"""
+
+
+def document_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of texts made from orders, with every rewrite but character references; and where the last cell's value reads."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(READ).alias("text"))
+    seen = docs.select("doc_id", view("text").alias("v"))
+    return seen.select("doc_id", F.col("v.text").alias("text"), F.size("v.edits").alias("n_edits"))
+
+
+#: The letters after R and a digit are too close to a word to be letter-spaced; both gaps between emphasised words are joined.
+DOCUMENT_VIEWS_SQL = """
+SELECT o_orderkey AS doc_id, 'R' || (o_orderkey % 9) || ' P A S S  N O: Anna Lee Roe** X2 said ¹ and Rosalind , see [x](A b c' || (o_orderkey % 5) || '.pdf) or [y](mailto:a_b@ex.org).
+| Name | Passport |
+|---|---|
+| Ann | Passport: ' || o_orderkey || ' |
+| Bob | none |' AS text, 10::INTEGER AS n_edits FROM orders
+"""
+
 PAGE_VIEWS_SQL = f"""
 SELECT page_id, (length(html) - ({' + '.join(f'{len(r) - 1} * {n}' for r, n in _COUNT.items())}))::INTEGER AS n_chars, ({' + '.join(_COUNT.values())})::INTEGER AS n_edits FROM pages
 """
 
 QUERIES = [
     ("paragraph_islands", paragraph_islands, PARAGRAPH_SQL), ("line_classes", line_classes, LINE_CLASSES_SQL), ("table_cells", table_cells, TABLE_CELLS_SQL), ("column_headers", column_headers, COLUMN_HEADERS_SQL),
-    ("long_line_windows", long_line_windows, LONG_LINE_SQL), ("pack_lines", pack_lines, None), ("line_windows_distinct", distinct_lines, DISTINCT_LINES_SQL), ("page_views", page_views, PAGE_VIEWS_SQL),
+    ("long_line_windows", long_line_windows, LONG_LINE_SQL), ("pack_lines", pack_lines, None), ("line_windows_distinct", distinct_lines, DISTINCT_LINES_SQL), ("page_views", page_views, PAGE_VIEWS_SQL), ("document_views", document_views, DOCUMENT_VIEWS_SQL),
 ]

@@ -178,3 +178,26 @@ def test_long_wordings_on_the_list(spark):
     docs = spark.createDataFrame([(1, "Then Mary  Ann\nLewis, and mary ann."), (2, None), (3, "")], "doc_id int, text string")
     listed = spark.createDataFrame([("Mary Ann Lewis",), ("mary ann",), ("--",), ("then mary ann lewis and mary",)], "key string")
     assert sorted((r.doc_id, r.word_no, r.key) for r in always_mentions(docs, listed).collect()) == [(1, 0, "then mary ann lewis and mary"), (1, 1, "Mary Ann Lewis"), (1, 1, "mary ann"), (1, 5, "mary ann")]
+
+
+def test_view_of_marks_and_tables():
+    seen = lambda t: structure.read_view(t)[0]
+    assert seen("D E L V A   R O S K") == "DELVA ROSK" and seen("И Н Н: 77") == "ИНН: 77" and seen("**J R R** Tolkien") == "**J R R** Tolkien" and seen("A B") == "A B"
+    assert seen("**An**na and *Lee* 2 * 3") == "Anna and *Lee* 2 * 3" and seen("snake_case") == "snake_case"
+    assert seen("[a](x%20y_z) [b](mailto:a_b@c.d) [c](%FF)") == "[a](x y z) [b](mailto:a_b@c.d) [c](%FF)"
+    table = "| Name | **Phone No.** |\n|:--|--:|\n| Ann | 12 |\n| Bob | - |\n\n| 13 | 14 |"
+    text, edits = structure.read_view(table)
+    assert text == table.replace("| 12", "| Phone No.: 12") and structure.source_range(text.index("12"), text.index("12") + 2, edits) == (table.index("12"), table.index("12") + 2)
+    assert structure.view_range(table.index("12"), table.index("12") + 2, edits) in ((text.index("12"), text.index("12") + 2), (text.index("Phone No.:"), text.index("12") + 2))
+    assert structure.decoded("a&amp;b") == "a&b" and structure.wording(" a  &amp;\n b ") == "a & b" and structure.discovery_view("**An**na &amp;")[0] == "Anna &amp;"
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab&amp;#97;\n*_ [](%20)|-¹ÂИН", max_size=50), st.integers(0, 50), st.integers(0, 8))
+def test_view_ranges_go_there_and_back(text, start, size):
+    seen, edits = structure.read_view(text)
+    start, end = min(start, len(text)), min(start + size, len(text))
+    a, b = structure.view_range(start, end, edits)
+    assert 0 <= a <= b <= len(seen)
+    s, e = structure.source_range(a, b, edits) if a < b else (start, end)
+    assert s <= start and (e >= end or a == b or start == end)
