@@ -9,10 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.spans import find_spans
+from spanloom.functions.spans import SPAN, chunks, find_spans, let, part
 from spanloom.sources.tables import table
 
-EMAIL = r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+(?![A-Za-z0-9@-])"
+#: Letters and digits of any script, quoted local parts, a leading plus or underscore, escaped underscores; no at-sign around it.
+EMAIL = r"(?<![\p{L}\p{N}._%+@'’-])(?:\"[^\"\r\n@]{1,64}\"|(?:[\p{L}\p{N}+_]|\\_)(?:[\p{L}\p{N}._%+'’-]|\\_)*)@[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?(?:\.[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?)+(?![\p{L}\p{N}@-])"
 URL = r"(?:https?://|www\.)[^\s<>\"'\]]*[^\s<>\"'\].,;:!?)]"
 CARD = r"(?<![0-9])[0-9]{16}(?![0-9])"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
@@ -64,6 +65,75 @@ def icao_check(field: Column) -> Column:
     return F.aggregate(weighted, F.lit(0), lambda s, x: s + x) % 10
 
 
+#: Zones that a bare domain may end in.
+ZONES = "com|org|net|info|biz|edu|gov|io|eu|ru|uk|de|fr|es|it|nl|pl|ch|at|be|us|ca|invalid|example|test|рф"
+#: A domain by itself: a known zone in lower case (or the whole host in capitals), two characters or more before it (three letters before a
+#: two-letter zone, unless a path follows), no at-sign beside it; then a port and a path.
+BARE = rf"(?<![\p{{L}}\p{{N}}@/._-])(?:(?:[\p{{L}}\p{{N}}-]+\.)*(?:[\p{{L}}\p{{N}}-]*\p{{L}}[\p{{L}}\p{{N}}-]*\p{{L}}[\p{{L}}\p{{N}}-]*\p{{L}}[\p{{L}}\p{{N}}-]*|(?=[\p{{L}}\p{{N}}-]*\p{{L}})[\p{{L}}\p{{N}}-]{{2,}}(?=\.\p{{L}}{{3}})|(?=[\p{{L}}\p{{N}}-]*\p{{L}})[\p{{L}}\p{{N}}-]+(?=\.\p{{L}}+/))\.(?:{ZONES}))(?![\p{{L}}\p{{N}}@_-])(?::[0-9]{{1,5}})?(?:/[^\s<>\"'\]]*[^\s<>\"'\].,;:!?)])?"
+#: Trailing marks that an address doesn't end with are cut off a match of URL by its last character class.
+ANY_URL = f"{URL}|{BARE}"
+
+
+def host_of(url: Column) -> Column:
+    """The host of an address, in lower case, without user and port."""
+    return F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@\s]*@)?([^/?#:]+)", 1))
+
+
+def mrz_lines(text: Column) -> Column:
+    """Machine-readable zones of travel documents in a text: kind (TD1, TD2, TD3), surname, given names, number, whether the number's check
+    digit holds. Letters that a scanner takes for digits are read as digits in the number's check digit."""
+    lines = F.split(F.regexp_replace(F.upper(text), " ", ""), "\n")
+    digit = lambda c: F.translate(c, "OILSB", "01158")
+
+    def zone(kind: str, first: Column, second: Column, name: Column) -> Column:
+        number = F.substring(first, 6, 9) if kind == "TD1" else F.substring(second, 1, 9)
+        check = digit(F.substring(first, 15, 1) if kind == "TD1" else F.substring(second, 10, 1))
+        names = F.split(name, "<<")
+        clean = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "<+", " "))
+        return F.struct(F.lit(kind).alias("kind"), clean(F.get(names, F.lit(0))).alias("surname"), clean(F.get(names, F.lit(1))).alias("given"), F.regexp_replace(number, "<+$", "").alias("number"), F.coalesce(icao_check(number) == check.try_cast("int"), F.lit(False)).alias("holds"))
+
+    def at(k: Column, ls: Column) -> Column:
+        a, b, c = F.get(ls, k), F.get(ls, k + 1), F.get(ls, k + 2)
+        passport = a.rlike("^P[A-Z<][A-Z<]{42}$") & b.rlike("^[A-Z0-9<]{44}$")
+        card = a.rlike("^[ACI][A-Z0-9<]{29}$") & b.rlike("^[A-Z0-9<]{30}$") & c.rlike("^[A-Z<]{30}$")
+        visa = a.rlike("^[ACIV][A-Z<][A-Z<]{34}$") & b.rlike("^[A-Z0-9<]{36}$")
+        return F.when(passport, zone("TD3", a, b, F.substring(a, 6, 39))).when(card, zone("TD1", a, b, c)).when(visa, zone("TD2", a, b, F.substring(a, 6, 31)))
+
+    found = let(lines, lambda ls: F.array_compact(F.transform(F.sequence(F.lit(0), F.size(ls) - 1), lambda k: at(k, ls))))
+    return F.when(text.rlike("<<"), found).otherwise(F.array().cast("array<struct<kind:string,surname:string,given:string,number:string,holds:boolean>>"))
+
+
+#: Initials: capitals with or without periods ('J.B.', 'Я. В.', 'JB'), as they may stand for a person named beside them.
+INITIALS = r"(?<![\p{L}\p{N}.])(?:\p{Lu}\. ?){1,2}\p{Lu}\.?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])\p{Lu}{2,3}(?![\p{L}\p{N}])"
+
+
+def initials_of(name: Column) -> Column:
+    """The capitals that a name of two words or more begins with."""
+    words = F.filter(F.split(name, r"[\s-]+"), lambda w: w.rlike(r"^\p{Lu}"))
+    return F.when(F.size(words) >= 2, F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), ""))
+
+
+def placed_initials(initials: DataFrame, persons: DataFrame) -> DataFrame:
+    """Initials (doc_id, start_cp, end_cp, value) that fit exactly one person (doc_id, value) of the same document, in either order of the
+    names: doc_id, start_cp, end_cp, value, person."""
+    own = persons.select("doc_id", F.col("value").alias("person"), initials_of(F.col("value")).alias("i")).where("i is not null").distinct()
+    keys = own.select("doc_id", "person", F.explode(F.array_distinct(F.array("i", F.concat(F.substring("i", -1, 1), F.expr("substring(i, 1, length(i) - 1)")), F.concat(F.expr("substring(i, 2)"), F.substring("i", 1, 1))))).alias("i")).distinct()
+    one = keys.groupBy("doc_id", "i").agg(F.count("*").alias("n"), F.min("person").alias("person")).where("n = 1").select("doc_id", "i", "person")
+    return initials.withColumn("i", F.regexp_replace("value", r"[^\p{L}]", "")).join(one, ["doc_id", "i"]).select("doc_id", "start_cp", "end_cp", "value", "person")
+
+
+def guess_category(value: Column, line: Column) -> Column:
+    """The category of a manual selection: a checksum's number with its label on the line, an e-mail or web address, the shape of a bank,
+    card, phone or case number, else OTHER."""
+    bare = F.regexp_replace(value, "[^0-9]", "")
+    whole = lambda p: value.rlike(f"^(?:{p})$")
+    return (
+        F.when(line.rlike(TAX_LABEL) & inn_valid(bare), "TAX").when(line.rlike(REGISTRATION_LABEL) & registration_valid(bare), "TAX").when(line.rlike(SNILS_LABEL) & snils_valid(bare), "IDENTITY")
+        .when(whole(EMAIL), "EMAIL").when(whole(ANY_URL), "URL").when(whole(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?"), "BANK").when(whole(r"(?:[0-9]{4}[ -]?){3}[0-9]{4}") & luhn_valid(value), "BANK")
+        .when(whole(r"\+[0-9][0-9 ()-]{7,17}[0-9]"), "PHONE").when(whole(r"(?i)[\p{L}0-9]{1,4}-[0-9]{1,7}(?:-[0-9]+)?/[0-9]{2,4}"), "CASE").otherwise("OTHER")
+    )
+
+
 def luhn_valid(number: Column) -> Column:
     chars = F.reverse(F.filter(F.split(number, ""), lambda c: c.rlike("[0-9]")))
     double = F.transform(chars, lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int")))
@@ -71,11 +141,12 @@ def luhn_valid(number: Column) -> Column:
 
 
 def _labelled(text: Column, label: str, digits: str, valid, category: str) -> Column:
-    """Numbers whose line holds the label within the 80 characters before them, and whose checksum holds."""
+    """Numbers whose line holds the label within the 80 characters before them, and whose checksum holds. Texts without the label are
+    not searched for digits at all."""
     spans = find_spans(text, rf"(?<![0-9]){digits}(?![0-9])")
-    before = lambda s: F.element_at(F.split(F.substring(text, F.greatest(s["start"] - 79, F.lit(1)), F.least(s["start"], F.lit(80))), "\n"), -1)
+    before = lambda c, s: F.element_at(F.split(part(c, F.greatest(s["start"] - 80, F.lit(0)), s["start"]), "\n"), -1)
     bare = lambda s: F.regexp_replace(s["text"], "[^0-9]", "")
-    return F.when(text.rlike(label), F.filter(spans, lambda s: valid(bare(s)) & before(s).rlike(label))).otherwise(F.filter(spans, lambda s: F.lit(False)))
+    return F.when(text.rlike(label), let(chunks(text), lambda c: F.filter(spans, lambda s: valid(bare(s)) & before(c, s).rlike(label)))).otherwise(F.array().cast(SPAN))
 
 
 def _kind(spans: Column, category: str, score: float, recognizer: str) -> Column:
@@ -181,14 +252,81 @@ SELECT count(*) FILTER (WHERE {_sql_weighted('a', [2, 4, 10, 3, 5, 9, 4, 6, 8])}
 
 
 def url_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web addresses in pages' markup and in their own address column."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", F.lit("see"), F.concat(F.col("url"), F.lit("."))).alias("text"))
-    return pages.select("page_id", F.inline(find_spans(F.col("text"), URL))).select("page_id", F.col("start").alias("start_cp"), F.col("end").alias("end_cp"), F.col("text").alias("value"))
+    """Web addresses in pages' markup, and in their own address column with a period behind it."""
+    pages = table(spark, sf_dir, "pages")
+    texts = pages.select("page_id", F.lit("html").alias("place"), F.col("html").alias("text")).unionByName(pages.select("page_id", F.lit("url").alias("place"), F.concat("url", F.lit(". See")).alias("text")))
+    return texts.select("page_id", "place", F.inline(find_spans(F.col("text"), URL))).select("page_id", "place", F.col("start").alias("start_cp"), F.col("end").alias("end_cp"), F.col("text").alias("value"))
+
+
+_SQL_URL = "(https?://|www[.])[^\\s<>\"''\\]]*[^\\s<>\"''\\].,;:!?)]"
+URL_DETECT_SQL = f"SELECT page_id, 'html' AS place, start_cp, end_cp, value FROM {sql_spans(_SQL_URL, 'pages', 'page_id', 'html')} UNION ALL SELECT page_id, 'url', 0, length(url)::INTEGER, url FROM pages"
+
+def _check(weights: list[int], digits: str, length: int) -> str:
+    """SQL that Spark and DuckDB read alike: a weighted sum modulo 11, then 10, of a string of digits."""
+    return "(" + " + ".join(f"CAST(substring({digits}, {k + 1}, 1) AS INT) * {w}" for k, w in enumerate(weights)) + ") % 11 % 10"
+
 
+#: Nine digits and the check digit that makes them a taxpayer's number.
+_NINE = "lpad(CAST((o_orderkey * 7919) % 1000000000 AS STRING), 9, '0')"
+_TEN = f"concat({_NINE}, CAST({_check([2, 4, 10, 3, 5, 9, 4, 6, 8], _NINE, 9)} AS STRING))"
+#: Twelve digits and the registration number's check digit.
+_TWELVE = "lpad(CAST((o_orderkey * 104729) % 1000000000000 AS STRING), 12, '0')"
+_THIRTEEN = f"concat({_TWELVE}, CAST(CAST({_TWELVE} AS BIGINT) % 11 % 10 AS STRING))"
+LABELLED_NOTE = f"""concat('Write to o''venn+', o_orderkey, '@kéy.example; see www.site', o_orderkey % 7, '.org/a). ИНН: ', {_TEN}, ', ОГРН ', {_THIRTEEN}, '; tax id
+', {_TEN}, ' shop', o_orderkey % 5, '.example:8080/x, v1.de file.No 5 me@shop.example')"""
 
-URL_DETECT_SQL = "SELECT page_id, 0 AS start_cp, length(url)::INTEGER AS end_cp, url AS value FROM pages UNION ALL SELECT page_id, (length(url) + 5)::INTEGER, (2 * length(url) + 5)::INTEGER, url FROM pages"
+
+def labelled_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules-only scan of texts made from orders, whose numbers have right check digits: a number on the line after its label is none."""
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr(LABELLED_NOTE).alias("text"))
+    found = detections(docs, extensions=False).select("doc_id", F.col("text").alias("value"), "category", "recognizer")
+    bare = docs.select("doc_id", F.inline(find_spans(F.col("text"), BARE))).select("doc_id", F.col("text").alias("value"), F.lit("URL").alias("category"), F.lit("domain").alias("recognizer"))
+    return found.unionByName(bare)
+
+
+LABELLED_NUMBERS_SQL = f"""
+WITH n AS (SELECT o_orderkey AS k, {_TEN.replace('STRING', 'VARCHAR')} AS a, {_THIRTEEN.replace('STRING', 'VARCHAR')} AS b FROM orders)
+SELECT k AS doc_id, 'o''venn+' || k || '@kéy.example' AS value, 'EMAIL' AS category, 'email' AS recognizer FROM n UNION ALL SELECT k, 'me@shop.example', 'EMAIL', 'email' FROM n UNION ALL SELECT k, 'www.site' || (k % 7) || '.org/a', 'URL', 'url' FROM n
+UNION ALL SELECT k, a, 'TAX', 'inn' FROM n UNION ALL SELECT k, b, 'TAX', 'registration' FROM n
+UNION ALL SELECT k, 'www.site' || (k % 7) || '.org/a', 'URL', 'domain' FROM n UNION ALL SELECT k, 'shop' || (k % 5) || '.example:8080/x', 'URL', 'domain' FROM n
+"""
+
+
+def zones_and_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machine-readable zones made from customers (one in five numbers is damaged), with initials that fit one person or more."""
+    k = F.col("c_custkey")
+    number = F.lpad(k.cast("string"), 9, "0")
+    check = icao_check(number).cast("string")
+    shown = F.when(k % 5 == 0, ((icao_check(number) + 1) % 10).cast("string")).otherwise(F.translate(check, "05", "OS"))
+    first = F.rpad(F.concat(F.lit("P<UTOROE"), F.translate((k % 26).cast("string"), "0123456789", "ABCDEFGHIJ"), F.lit("<<ANN<MARY")), 44, "<")
+    second = F.rpad(F.concat(number, shown, F.lit("UTO6908061F9406236")), 44, "<")
+    text = F.concat(F.lit("Scan\n"), first, F.lit("\n"), second, F.lit("\nAnn Roe met John Brown; A.R. wrote to JB and X. Y."))
+    docs = table(spark, sf_dir, "customer").select(k.alias("doc_id"), text.alias("text"))
+    zones = docs.select("doc_id", F.inline(mrz_lines(F.col("text")))).select("doc_id", F.concat_ws("/", "kind", "surname", "given", "number", "holds").alias("found"))
+    spans = lambda p: docs.select("doc_id", F.inline(find_spans(F.col("text"), p))).select("doc_id", F.col("start").alias("start_cp"), F.col("end").alias("end_cp"), F.col("text").alias("value"))
+    placed = placed_initials(spans(INITIALS), spans("Ann Roe|John Brown")).select("doc_id", F.concat_ws("=", "value", "person").alias("found"))
+    return zones.unionByName(placed)
+
+
+ZONES_SQL = """
+SELECT c_custkey AS doc_id, unnest(['TD3/ROE' || translate((c_custkey % 26)::VARCHAR, '0123456789', 'ABCDEFGHIJ') || '/ANN MARY/' || lpad(c_custkey::VARCHAR, 9, '0') || '/' || CASE WHEN c_custkey % 5 = 0 THEN 'false' ELSE 'true' END, 'A.R.=Ann Roe', 'JB=John Brown']) AS found FROM customer
+"""
+
+
+def manual_guesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guesses for selections made from orders: numbers with and without their label, addresses, phones, cases."""
+    made = table(spark, sf_dir, "orders").select(F.expr(f"inline(array(struct({_TEN} AS value, 'my tax id' AS line), struct({_TEN} AS value, 'some number' AS line), struct(concat('a', o_orderkey, '@ex.org') AS value, '' AS line), struct('shop.example/a' AS value, '' AS line), struct(concat('+1 (743) 555-', lpad(CAST(o_orderkey % 10000 AS STRING), 4, '0')) AS value, '' AS line), struct(concat('A40-', o_orderkey, '/2024') AS value, '' AS line)))"))
+    return made.groupBy(guess_category(F.col("value"), F.col("line")).alias("category")).agg(F.count("*").alias("n"), F.countDistinct("value").alias("n_values"))
+
+
+GUESSES_SQL = f"""
+WITH v AS (SELECT {_TEN.replace('STRING', 'VARCHAR')} AS t, o_orderkey AS k FROM orders)
+SELECT 'TAX' AS category, count(*) AS n, count(DISTINCT t) AS n_values FROM v UNION ALL SELECT 'OTHER', count(*), count(DISTINCT t) FROM v UNION ALL SELECT 'EMAIL', count(*), count(DISTINCT k) FROM v UNION ALL SELECT 'URL', count(*), 1 FROM v
+UNION ALL SELECT 'PHONE', count(*), count(DISTINCT k % 10000) FROM v UNION ALL SELECT 'CASE', count(*), count(DISTINCT k) FROM v
+"""
 
 QUERIES = [
+    ("labelled_numbers", labelled_numbers, LABELLED_NUMBERS_SQL), ("zones_and_initials", zones_and_initials, ZONES_SQL), ("manual_guesses", manual_guesses, GUESSES_SQL),
     ("email_detect", email_detect, EMAIL_DETECT_SQL), ("email_by_lang", email_by_lang, EMAIL_BY_LANG_SQL), ("rules_scan", rules_scan, RULES_SCAN_SQL),
     ("checksums", checksums, CHECKSUMS_SQL), ("url_detect", url_detect, URL_DETECT_SQL),
 ]
