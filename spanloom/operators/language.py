@@ -64,4 +64,23 @@ o AS (SELECT unnest([0, 1, 2, 3, 4]) AS k, unnest([['en'], ['de', 'en'], ['en',
 SELECT source, array_to_string(any_value(l), ',') AS langs, arg_max(k, struct_pack(a := list_has_all(s, l), n := CASE WHEN list_has_all(s, l) THEN 0 ELSE len(list_intersect(l, s)) END, k := -k))::INTEGER AS choice FROM h, o GROUP BY source
 """
 
-QUERIES = [("lang_signal", lang_signal, LANG_SQL), ("first_signal", first_signal, FIRST_SIGNAL_SQL), ("closest_languages", closest_languages, CLOSEST_SQL)]
+#: Words in a file's name that name a language.
+NAMED = {"english": "en", "eng": "en", "en": "en", "russian": "ru", "rus": "ru", "ru": "ru", "русский": "ru", "german": "de", "deutsch": "de", "de": "de", "french": "fr", "français": "fr", "fr": "fr", "spanish": "es", "español": "es", "es": "es"}
+
+
+def named_languages(path: Column) -> Column:
+    """Languages that the words of a file's name (without folders and extension) name, each once, in order."""
+    stem = F.regexp_replace(F.regexp_extract(path, r"[^/\\\\]*$", 0), r"\.[A-Za-z0-9]+$", "")
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    return F.array_distinct(F.array_compact(F.transform(F.split(F.lower(stem), r"[^\p{L}]+"), lambda w: names[w])))
+
+
+def file_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named after documents' languages and sources: what the name says."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/in/de/Report_"), F.coalesce("lang", F.lit("")), F.lit("-German"), F.col("doc_id").cast("string"), F.lit(" denim.fr")).alias("path"))
+    return docs.select("doc_id", F.array_join(named_languages(F.col("path")), ",").alias("langs"))
+
+
+FILE_LANGUAGES_SQL = "SELECT doc_id, CASE WHEN lang = 'de' OR lang IS NULL OR lang NOT IN ('en', 'fr', 'es', 'ru') THEN 'de' ELSE lang || ',de' END AS langs FROM documents"
+
+QUERIES = [("file_languages", file_languages, FILE_LANGUAGES_SQL), ("lang_signal", lang_signal, LANG_SQL), ("first_signal", first_signal, FIRST_SIGNAL_SQL), ("closest_languages", closest_languages, CLOSEST_SQL)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.lineage import cut
 from spanloom.operators.recognizers import EMAIL_DETECT_SQL, email_detect
 from spanloom.sources.tables import table
 
@@ -32,8 +33,22 @@ def spelling_key(value: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"[^\p{L}0-9 ]|(?<![0-9]) | (?![0-9])", ""))
 
 
-def number_aliases(mentions: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
-    """Per scope and category, numbers of the keys by first appearance (order): scope, category, key, number, alias, n_mentions."""
+def number_aliases(mentions: DataFrame, scope: list[str], order: list[str], wide: bool = False) -> DataFrame:
+    """Per scope and category, numbers of the keys by first appearance (order): scope, category, key, number, alias, n_mentions.
+
+    wide: scopes may hold very many keys (a case rather than a document). Then keys are sorted over ranges, so that one scope spreads over
+    many tasks, numbered within each range, and raised by how many keys of their scope lie in earlier ranges.
+    """
+    if wide:
+        keyed = mentions.groupBy(*scope, "category", "key").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n_mentions"))
+        ranged = cut(keyed.sort(*scope, "category", "first", "key").withColumn("_part", F.spark_partition_id()))
+        groups = ranged.groupBy("_part", *scope, "category").agg(F.count("*").alias("_n"))
+        before = groups.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*scope, "category").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+        on = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("_part", *scope, "category")]
+        met = ranged.alias("r").join(before.alias("b"), on).select("r.*", "b._before")
+        w = Window.partitionBy("_part", *scope, "category").orderBy("first", "key")
+        numbered = met.withColumn("number", (F.row_number().over(w) + F.col("_before")).cast("int"))
+        return numbered.withColumn("alias", F.concat_ws("_", "category", F.col("number").cast("string"))).drop("first", "_part", "_before")
     first = mentions.groupBy(*scope, "category", "key").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n_mentions"))
     w = Window.partitionBy(*scope, "category").orderBy("first", "key")
     return first.withColumn("number", F.row_number().over(w)).withColumn("alias", F.concat_ws("_", "category", F.col("number").cast("string"))).drop("first")
@@ -58,7 +73,7 @@ def alias_numbering_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a source as the scope (a case): first appearance by document, then place."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     found = _email_mentions(spark, sf_dir).join(docs, "doc_id")
-    return number_aliases(found, ["source"], ["doc_id", "start_cp"]).select("source", "category", "key", "number", "alias", "n_mentions")
+    return number_aliases(found, ["source"], ["doc_id", "start_cp"], wide=True).select("source", "category", "key", "number", "alias", "n_mentions")
 
 
 ALIAS_BY_SOURCE_SQL = f"""

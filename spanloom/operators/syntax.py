@@ -287,7 +287,8 @@ def _shape(t: str) -> list[tuple[str, int]]:
 
 def keeps_structure(text: str, start: int, end: int) -> bool:
     """Whether a plain token in place of a span leaves the structure of its block as it was; line breaks inside the span are text."""
-    if not any(c in text[start:end] for c in "\\*_~=`$#\n<[]|"):
+    inside_line = text[:start].rpartition("\n")[2].strip(" >")
+    if inside_line and not any(c in text[start:end] for c in "\\*_~=`$#\n<[]|"):
         return True
     first = text.rfind("\n\n", 0, start)
     first = 0 if first < 0 else first + 2

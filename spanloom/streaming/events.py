@@ -15,12 +15,13 @@ from spanloom.sources.tables import table
 
 
 def scan_stream(stream: DataFrame, out: str, checkpoint: str):
-    """Detections of each new document, once: each micro-batch goes through the batch scan and is appended to out."""
+    """Detections of each new document, once: ids that were seen are kept as state across batches (their first row counts), each
+    micro-batch goes through the batch scan, and its part of out is written anew if the batch is run again."""
 
     def each(batch: DataFrame, number: int) -> None:
-        detections(batch.dropDuplicates(["doc_id"])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        detections(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.dropDuplicates(["doc_id"]).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 ALIASES = "scope string, category string, key string, alias string"
