@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.sources.imports import to_markdown
+from spanloom.sources.imports import as_table, to_markdown
 from spanloom.sources.tables import table
 
 #: The largest file that is read, and the largest that a packed file may unfold to.
@@ -48,16 +48,6 @@ def guess_text(content: bytes) -> str:
         return content.decode("cp1251" if letters and high > 0.8 * letters and words else "cp1252", "replace")
 
 
-def as_table(rows: list[list[str]]) -> str:
-    """Rows as a pipe table; the first is the header, short rows are filled up."""
-    rows = [[re.sub(r"\s*\n\s*", "<br>", c.strip()).replace("|", r"\|") for c in r] for r in rows if any(c.strip() for c in r)]
-    if not rows:
-        return ""
-    width = max(map(len, rows))
-    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
-    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
-
-
 def from_csv(content: bytes) -> str:
     """A table; the separator is the one that parts the first lines most evenly."""
     text = guess_text(content)

@@ -49,16 +49,66 @@ SKIPPED = {"script", "style", "head", "template", "noscript"}
 BLOCKS = {"p", "div", "article", "section", "nav", "ul", "ol", "table", "tr", "blockquote", "pre", "header", "footer", "main", "aside", "form", "figure"}
 
 
+def as_table(rows: list[list[str]]) -> str:
+    """Rows as a pipe table; the first is the header, short rows are filled up."""
+    rows = [[re.sub(r"\s*\n\s*", "<br>", c.strip()).replace("|", r"\|") for c in r] for r in rows if any(c.strip() for c in r)]
+    if not rows:
+        return ""
+    width = max(map(len, rows))
+    lines = ["| " + " | ".join(r + [""] * (width - len(r))) + " |" for r in rows]
+    return "\n".join([lines[0], "|" + " --- |" * width, *lines[1:]])
+
+
+MARKS = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`", "s": "~~", "del": "~~", "mark": "=="}
+
+
 class _Markdown(HTMLParser):
+    """Builds Markdown in nested buffers: what an element holds is known before its marks are set."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
+        self.buffers: list[list[str]] = [[]]
+        self.opened: list[tuple[str, str]] = []  # tag and link target of each buffer but the first
         self.skip: list[str] = []
-        self.href: list[str] = []
+        self.lists: list[list] = []  # kind and next number
+        self.tables: list[list[list[str]]] = []
+        self.depths: list[int] = []  # elements open outside each table
+
+    def _write(self, text: str) -> None:
+        self.buffers[-1].append(text)
 
     def _break(self) -> None:
-        if self.out and not self.out[-1].endswith("\n\n"):
-            self.out.append("\n\n")
+        if self.buffers[-1] and not self.buffers[-1][-1].endswith("\n\n"):
+            self._write("\n\n")
+
+    def _open(self, tag: str, target: str = "") -> None:
+        self.buffers.append([])
+        self.opened.append((tag, target))
+
+    def _close(self, tag: str) -> None:
+        """Closes the innermost element of that tag, and what was left open inside it."""
+        if tag not in [t for t, _ in self.opened]:
+            return
+        while True:
+            name, target = self.opened.pop()
+            inner = "".join(self.buffers.pop())
+            bare = inner.strip()
+            lead, tail = inner[: len(inner) - len(inner.lstrip())], inner[len(inner.rstrip()) :] if bare else ""
+            if name in MARKS:  # marks stand beside letters, white space goes outside
+                self._write(f"{lead}{MARKS[name]}{bare}{MARKS[name]}{tail}" if bare else inner)
+            elif name == "a":
+                safe = re.match(r"(?:https?:|mailto:|[/#?.]|[^:]*$)", target, re.I)
+                self._write(f"{lead}[{bare}]({target}){tail}" if bare and target and safe else inner)
+            elif self.tables:  # a cell
+                if not self.tables[-1]:
+                    self.tables[-1].append([])
+                self.tables[-1][-1].append(re.sub(r"\n{2,}", "\n", bare))
+            if name == tag:
+                return
+
+    def _close_cell(self) -> None:
+        while len(self.opened) > self.depths[-1]:
+            self._close(self.opened[-1][0])
 
     def handle_starttag(self, tag, attrs):
         if tag in SKIPPED:
@@ -67,20 +117,32 @@ class _Markdown(HTMLParser):
             return
         elif re.fullmatch("h[1-6]", tag):
             self._break()
-            self.out.append("#" * int(tag[1]) + " ")
+            self._write("#" * int(tag[1]) + " ")
+        elif tag in ("ul", "ol"):
+            if not self.lists:
+                self._break()
+            start = dict(attrs).get("start") or "1"
+            self.lists.append([tag, int(start) if start.isdigit() else 1])
         elif tag == "li":
-            self.out.append("\n- ")
+            kind = self.lists[-1] if self.lists else ["ul", 1]
+            self._write("\n" + "   " * max(len(self.lists) - 1, 0) + ("- " if kind[0] == "ul" else f"{kind[1]}. "))
+            kind[1] += 1
         elif tag == "br":
-            self.out.append("\n")
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag in ("td", "th"):
-            self.out.append("| ")
+            self._write("\n")
+        elif tag in MARKS:
+            self._open(tag)
         elif tag == "a":
-            self.href.append(dict(attrs).get("href") or "")
-            self.out.append("[")
+            self._open(tag, dict(attrs).get("href") or "")
+        elif tag == "table":
+            self._break()
+            self.tables.append([])
+            self.depths.append(len(self.opened))
+        elif tag == "tr" and self.tables:
+            self._close_cell()
+            self.tables[-1].append([])
+        elif tag in ("td", "th") and self.tables:
+            self._close_cell()
+            self._open(tag)
         elif tag in BLOCKS:
             self._break()
 
@@ -88,31 +150,43 @@ class _Markdown(HTMLParser):
         if self.skip:
             if tag == self.skip[-1]:
                 self.skip.pop()
-        elif tag in ("b", "strong"):
-            self.out.append("**")
-        elif tag in ("i", "em"):
-            self.out.append("*")
-        elif tag == "a" and self.href:
-            href = self.href.pop()
-            safe = re.match(r"(?:https?:|mailto:|[/#?.]|[^:]*$)", href, re.I)
-            self.out.append(f"]({href})" if href and safe else "]")
+        elif tag in MARKS or tag in ("a", "td", "th"):
+            self._close(tag)
+        elif tag == "table" and self.tables:
+            self._close_cell()
+            self.depths.pop()
+            self._write(as_table(self.tables.pop()))
+            self._break()
+        elif tag in ("ul", "ol") and self.lists:
+            self.lists.pop()
+            if not self.lists:
+                self._break()
         elif tag in BLOCKS or re.fullmatch("h[1-6]", tag):
             self._break()
 
     def handle_data(self, data):
         if not self.skip:
-            self.out.append(re.sub(r"\s+", " ", data))
+            self._write(re.sub(r"\s+", " ", data))
+
+    def text(self) -> str:
+        while self.opened:
+            self._close(self.opened[-1][0])
+        while self.tables:
+            self._write(as_table(self.tables.pop()))
+        return "".join(self.buffers[0])
 
 
 def to_markdown(markup: str | None) -> str | None:
-    """HTML as Markdown: headings, lists, emphasis, links with safe targets; scripts, styles and comments are left out."""
+    """HTML as Markdown: headings, numbered and nested lists, emphasis whose marks touch words, pipe tables, links with safe targets;
+    scripts, styles and comments are left out. Null stays null; what is left open closes at the end."""
     if markup is None:
         return None
     parser = _Markdown()
     parser.feed(markup)
     parser.close()
-    text = "".join(parser.out)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]*\n[ \t]*", "\n", text)).strip()
+    lines = [re.sub(r"(?<=\S)[ \t]+", " ", x).rstrip() for x in parser.text().split("\n")]
+    text = "\n".join(x if re.match(r" +(?:-|[0-9]+\.) ", x) else x.lstrip() for x in lines)
+    return re.sub(r"\n{3,}", "\n\n", text).strip()
 
 
 @pandas_udf(T.StringType())
@@ -194,15 +268,16 @@ SELECT page_id, concat_ws('; ', CASE WHEN a > 0 THEN a || ' scripts' END, CASE W
 
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages admitted by the extension of their address, and documents beyond a size: rejected whole, with the reason."""
+    """Pages admitted by the extension of their address; documents beyond the limit of a scan are rejected whole, with the reason, and long
+    ones named."""
     pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page "), "page_id").alias("item"), F.when(admitted(F.regexp_replace("url", "[?#].*$", "")), "admitted").otherwise("extension").alias("state"))
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("document "), "doc_id").alias("item"), F.when(F.octet_length("text") <= 20000, "admitted").otherwise("too long").alias("state"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("document "), "doc_id").alias("item"), F.when(F.octet_length("text") > MOST_BYTES, "too long").when(F.octet_length("text") > 20000, "long").otherwise("admitted").alias("state"))
     return pages.unionByName(docs)
 
 
 ADMISSION_SQL = f"""
 SELECT 'page ' || page_id AS item, CASE WHEN lower(regexp_extract(regexp_replace(url, '[?#].*$', ''), '[.]([A-Za-z0-9]+)$', 1)) IN ({', '.join(repr(x) for x in EXTENSIONS)}) THEN 'admitted' ELSE 'extension' END AS state FROM pages
-UNION ALL SELECT 'document ' || doc_id, CASE WHEN strlen(text) <= 20000 THEN 'admitted' ELSE 'too long' END FROM documents
+UNION ALL SELECT 'document ' || doc_id, CASE WHEN strlen(text) > 2097152 THEN 'too long' WHEN strlen(text) > 20000 THEN 'long' ELSE 'admitted' END FROM documents
 """
 
 QUERIES = [
