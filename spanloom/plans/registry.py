@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["operators.recognizers", "operators.mapping", "operators.cases", "operators.rewrite", "operators.structure", "operators.selection", "operators.evaluation", "operators.lists", "operators.search", "operators.language", "operators.history", "operators.rules", "operators.filters", "operators.syntax", "operators.fixes", "operators.tables", "operators.review", "operators.names", "operators.windows", "sources.imports", "sources.convert", "streaming.events"]
+MODULES = ["operators.recognizers", "operators.mapping", "operators.cases", "operators.rewrite", "operators.structure", "operators.selection", "operators.evaluation", "operators.lists", "operators.search", "operators.language", "operators.history", "operators.rules", "operators.filters", "operators.syntax", "operators.fixes", "operators.tables", "operators.review", "operators.shapes", "operators.names", "operators.windows", "sources.imports", "sources.convert", "streaming.events"]
 
 
 def _entries():
