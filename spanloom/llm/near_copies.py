@@ -128,6 +128,7 @@ def _likely(keyed: DataFrame, buckets: int) -> DataFrame:
             for x, y in _forest(e - s, lambda x, rest, own=own: (own[rest] == own[x]).sum(axis=1) >= LIKELY):
                 a.append(int(ids[s + x]))
                 b.append(int(ids[s + y]))
+        release()
         return _link_table(a, b)
 
     return keyed.withColumn("bucket", F.pmod(F.xxhash64("p", "v"), F.lit(buckets))).groupBy("bucket").applyInArrow(run, "a bigint, b bigint")

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm import pretokens
-from spanloom.llm.common import documents, texts, typed
+from spanloom.llm.common import documents, release, texts, typed
 from spanloom.llm.token_counts import byte_chars
 
 CAPACITY = 2048
@@ -200,6 +200,9 @@ def pack(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
                     doc_ids, ids, held = [], [], 0
         if ids:
             yield _pieces(doc_ids, kind, ids, sequence)[0]
+        encoder.known = {}  # the worker may idle beside others for a while
+        del doc_ids, ids
+        release()
 
     plain = texts(docs, doc_id, text)
     return plain.mapInArrow(run, typed(SCHEMA, plain))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import documents, texts, typed
+from spanloom.llm.common import documents, release, texts, typed
 
 KINDS = ("email", "ip", "card", "phone", "name")
 
@@ -237,7 +237,7 @@ def train(epochs: int = 40, rate: float = 0.3, decay: float = 1e-3) -> Field:
 
 
 REMEMBERED = 400_000
-BLOCK_CHARS = 3_000_000
+BLOCK_CHARS = 1_500_000
 IS_SPACE = np.zeros(0x110000, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 
@@ -372,6 +372,8 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                     if x:
                         new[a + k] = masked(texts[a + k], x)
             yield batch.set_column(place, batch.schema.field(place).name, pa.array(new, pa.string()))
+        del names
+        release()
 
     return flat.mapInArrow(run, schema).toDF(*names_of)
 

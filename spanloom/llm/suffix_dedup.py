@@ -289,6 +289,7 @@ def _name_anchors(blocks: int):
             mine = out[at[k] : at[k + 1]]
             once = mine["h"][mine["n"] == 0]
             rows.append((ANCHORS, k, key[0].as_py(), np.int64(len(once)).tobytes() + once.tobytes() + mine[mine["n"] > 0].tobytes()))
+        release()
         return _frame(rows)
 
     return run
@@ -365,6 +366,8 @@ def _send_pieces(buckets: int, hot: int):
         for k in np.flatnonzero(np.diff(bounds)).tolist():
             a, b = bounds[k], bounds[k + 1]
             rows.append((PIECES, k, 0, pack(np.int64(b - a).tobytes() + pieces[a:b].tobytes() + _cut(block.data, at[a:b], m[a:b] + WINDOW - 1).tobytes())))
+        del block, words
+        release()
         return _frame(rows)
 
     return run
