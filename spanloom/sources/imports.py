@@ -98,7 +98,7 @@ class _Markdown(HTMLParser):
                 self._write(f"{lead}{MARKS[name]}{bare}{MARKS[name]}{tail}" if bare else inner)
             elif name == "a":
                 safe = re.match(r"(?:https?:|mailto:|[/#?.]|[^:]*$)", target, re.I)
-                self._write(f"{lead}[{bare}]({target}){tail}" if bare and target and safe else inner)
+                self._write(f"{lead}[{bare}]" + (f"({target})" if target and safe else "") + tail if bare else inner)
             elif self.tables:  # a cell
                 if not self.tables[-1]:
                     self.tables[-1].append([])

@@ -140,7 +140,7 @@ def test_structure_kept():
 def test_markup():
     from spanloom.sources.imports import to_markdown
 
-    assert to_markdown("<p>a <b> bold </b>b<i></i> <a href='javascript:x'>l</a> <a href='/u'><b>m</b></a></p>") == "a **bold** b l [**m**](/u)"
+    assert to_markdown("<p>a <b> bold </b>b<i></i> <a href='javascript:x'>l</a> <a href='/u'><b>m</b></a></p>") == "a **bold** b [l] [**m**](/u)"
     assert to_markdown("<ol start=3><li>x<li>y<ul><li>z</li></ul></li></ol>t") == "3. x\n4. y\n   - z\n\nt"
     assert to_markdown("<table><tr><th>A<th>B|C</tr><tr><td>1<br>2</td></tr></table><p>n</p>") == "| A | B\\|C |\n| --- | --- |\n| 1<br>2 | |\n\nn"
     assert to_markdown("<b>open <table><tr><td>x") and to_markdown("") == "" and to_markdown(None) is None
