@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import checkpoint
 
 ROUNDS = 60
+#: Edges of a part of a round's checkpoint, and parts at least: rounds are many and shrink, so their files are few.
+PART_EDGES, LEAST_PARTS = 200_000, 8
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,9 +33,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) for every vertex of edges (a, b) in any order; component is the smallest vertex. Loops and nulls are ignored."""
     now = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
-    state = None
+    state, parts = None, max(now.count() // PART_EDGES, LEAST_PARTS)
     for _ in range(ROUNDS):
-        now = checkpoint(_star(_star(now, True), False))
+        now = checkpoint(_star(_star(now, True), False).coalesce(parts))
         found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if (found["n"], found["h"]) == state:
             break
