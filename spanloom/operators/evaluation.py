@@ -1,4 +1,8 @@
-"""Scoring proposals against annotated texts."""
+"""Scoring proposals against annotated texts.
+
+Defined cases: repeated spans count once; null ids meet nothing; a gold span that several proposals overlap is one boundary error; with nothing to
+divide by a share is null; texts without marks have no gold; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

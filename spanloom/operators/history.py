@@ -1,4 +1,8 @@
-"""Decisions and edits as event logs: the state of a review is a fold over its ordered events."""
+"""Decisions and edits as event logs: the state of a review is a fold over its ordered events.
+
+Defined cases: an undo with nothing before it does nothing; events with equal order columns come in an arbitrary order, so callers give a full one;
+null keys are a log of their own; an edit at a span's edge leaves it; empty logs give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Signals of a text's language: letters per script, words in a name, the first signal that there is."""
+"""Signals of a text's language: letters per script, words in a name, the first signal that there is.
+
+Defined cases: a null text has no letters and points at English; of equal counts the greater code wins; a path without a file name names nothing; an
+empty set of languages is covered by the first offered one.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Always and Never lists: effective lists, their differences, and their effect on detections."""
+"""Always and Never lists: effective lists, their differences, and their effect on detections.
+
+Defined cases: null keys and texts match nothing and stay; an entry on both lists of a case is kept twice; repeated entries count once; of equal
+revisions the greater key wins; empty lists change nothing.
+"""
 
 from __future__ import annotations
 

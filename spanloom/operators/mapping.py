@@ -3,6 +3,9 @@
 An alias is a category and a number by first appearance. A scope is a document unless a case joins several; numbering
 groups by scope and category, after the mentions of a wording have been reduced to its first one, so a hot wording or
 document costs one row per task and wording.
+
+Defined cases: a null wording has a null key, which is a key like any other in numbering and meets nothing in joins; mentions at the same place
+are numbered in the order of their keys; repeated mentions count each; empty tables give no rows.
 """
 
 from __future__ import annotations

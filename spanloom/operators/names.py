@@ -1,4 +1,8 @@
-"""Names: their parts, the forms a full name may take, and linking forms that fit one full name only."""
+"""Names: their parts, the forms a full name may take, and linking forms that fit one full name only.
+
+Defined cases: a null or one-word name has fewer forms; a form that fits several people is linked to none; repeated names count once; null scopes
+meet nothing; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

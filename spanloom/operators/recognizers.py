@@ -2,6 +2,9 @@
 
 Scores and the order of evidence follow the rules-only scan: labelled tax and identity numbers 0.95, e-mail addresses 0.9,
 web addresses and list entries 1.0. Card and IP scans are extensions of our own, marked as such by their category.
+
+Defined cases: a null or empty text has no detections; a text of any length is scanned whole; repeated rows are scanned each; matches of one
+recogniser never overlap, those of several may; only the id and the text are read; an empty table gives no rows.
 """
 
 from __future__ import annotations

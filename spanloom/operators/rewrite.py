@@ -1,4 +1,8 @@
-"""Pseudonymising texts with aliases, and restoring wordings in texts that come back."""
+"""Pseudonymising texts with aliases, and restoring wordings in texts that come back.
+
+Defined cases: null texts stay null; null keys and values of a mapping say nothing, and of several values of a key the least counts; an alias in any
+writing is one key; repeated documents are rewritten each; other columns are kept; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,9 @@
 
 A rule table is small and fixed with the code, so rules become expressions; spans are arrays of a document (start, end,
 text, category) and every step is a fold or a filter over them, without a shuffle.
+
+Defined cases: a null text or span array gives no spans or null; rules are tried each by themselves, so their matches may overlap; spans that
+start together are ordered by their end; equal spans stay as they are.
 """
 
 from __future__ import annotations

@@ -1,4 +1,8 @@
-"""Search in visible text, spelling, suggestions."""
+"""Search in visible text, spelling, suggestions.
+
+Defined cases: a null text or word has no hits and no suggestions; hits never overlap; a word on the dictionary is no suggestion for itself; repeated
+words count once; a null language has a dictionary of its own; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

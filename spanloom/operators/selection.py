@@ -1,4 +1,8 @@
-"""Choosing among spans: overlap, containment, greedy selection, merging, shape."""
+"""Choosing among spans: overlap, containment, greedy selection, merging, shape.
+
+Defined cases: null spans are none; touching spans don't overlap; equal spans are one after pruning; ties of rank, score and length go to the earlier
+start; documents without spans give none; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

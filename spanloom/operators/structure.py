@@ -1,4 +1,8 @@
-"""Structure of Markdown texts: lines, blocks, tables, windows; and the normalised view that a scan reads."""
+"""Structure of Markdown texts: lines, blocks, tables, windows; and the normalised view that a scan reads.
+
+Defined cases: a null text has no lines and reads as the empty view; repeated rows are read each; where rewrites overlap, insertions come first,
+then the earliest, then the longest; a text of any length is read whole; other columns are ignored.
+"""
 
 from __future__ import annotations
 

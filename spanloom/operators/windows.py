@@ -1,4 +1,8 @@
-"""Model input: windows of texts, each distinct one once, and spans of a model brought back to the documents."""
+"""Model input: windows of texts, each distinct one once, and spans of a model brought back to the documents.
+
+Defined cases: a null or empty text has no windows; equal windows are run once; labels that stand for no category and entities outside their window
+are dropped; a word that is too long is an error, never cut; other columns are ignored.
+"""
 
 from __future__ import annotations
 

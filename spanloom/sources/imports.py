@@ -1,4 +1,8 @@
-"""Documents in: admission, HTML, CSV, pages; repeated headers, assembly, left-out notes, rejects."""
+"""Documents in: admission, HTML, CSV, pages; repeated headers, assembly, left-out notes, rejects.
+
+Defined cases: null markup and paths give null or are not admitted; empty pages take part in no assembly; pages with equal numbers are ordered by
+their text; repeated pages are read each; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Streams: the batch operators over new documents, aliases as keyed state, and event windows (our own extras)."""
+"""Streams: the batch operators over new documents, aliases as keyed state, and event windows (our own extras).
+
+Defined cases: a document id that was seen is not scanned again, whatever its text; a null id is an id; mentions of a batch are taken in the order of
+document and place; empty batches write nothing of their own.
+"""
 
 from __future__ import annotations
 
