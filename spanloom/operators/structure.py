@@ -242,6 +242,17 @@ def wording(text: str | None) -> str:
     return " ".join(decoded(text).split())
 
 
+def _references(text: str) -> list[tuple[int, int, str]]:
+    """Character references, decoded."""
+    return [(m.start(), m.end(), value) for m in ENTITY.finditer(text) if (value := html.unescape(m[0])) != m[0]]
+
+
+def markup_view(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """A view of markup, with nothing but character references decoded: the other rewrites are for Markdown ('A A A' in a page's title is
+    no letter-spaced word)."""
+    return _applied(text, _references(text))
+
+
 def discovery_view(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """A view with nothing but the joins of emphasised words: repeats are looked for in it, which other rewrites would make too many of."""
     return _applied(text, _inline_joins(text))
@@ -256,10 +267,7 @@ def read_view(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     """
     rewrites: list[tuple[int, int, str]] = _spaced_words(text) + _headed_cells(text) + _inline_joins(text) + _destinations(text)
     rewrites += [(m.start(), m.start(), " ") for m in NOTE_MARK.finditer(text)] + [(m.start(), m.end(), " ") for m in MOJIBAKE.finditer(text)]
-    for m in ENTITY.finditer(text):
-        value = html.unescape(m[0])
-        if value != m[0]:
-            rewrites.append((m.start(), m.end(), value))
+    rewrites += _references(text)
     rewrites += [(m.start(), m.end(), "") for m in BROKEN_LINE.finditer(text)]
     rewrites += [(m.start(), m.end(), "") for m in FOOTNOTE.finditer(text)]
     if not text.isascii():
@@ -329,15 +337,24 @@ EDIT = T.StructType([T.StructField(c, T.IntegerType()) for c in ("src_start", "s
 VIEW = T.StructType([T.StructField("text", T.StringType()), T.StructField("edits", T.ArrayType(EDIT))])
 
 
+def _views(read, texts: pd.Series) -> pd.DataFrame:
+    rows = [read(t or "") for t in texts]
+    return pd.DataFrame({"text": [r[0] for r in rows], "edits": [[dict(zip(("src_start", "src_end", "view_start", "view_end"), e, strict=True)) for e in r[1]] for r in rows]})
+
+
 @pandas_udf(VIEW)
 def view(texts: pd.Series) -> pd.DataFrame:
-    rows = [read_view(t or "") for t in texts]
-    return pd.DataFrame({"text": [r[0] for r in rows], "edits": [[dict(zip(("src_start", "src_end", "view_start", "view_end"), e, strict=True)) for e in r[1]] for r in rows]})
+    return _views(read_view, texts)
+
+
+@pandas_udf(VIEW)
+def markup(texts: pd.Series) -> pd.DataFrame:
+    return _views(markup_view, texts)
 
 
 def page_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Views of pages' markup: character references decoded; sizes and number of edits."""
-    seen = table(spark, sf_dir, "pages").select("page_id", view("html").alias("v"))
+    """Views of pages' markup: character references decoded; sizes and number of edits, null for a page without markup."""
+    seen = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("html").isNotNull(), markup("html")).alias("v"))
     return seen.select("page_id", F.length("v.text").alias("n_chars"), F.size("v.edits").alias("n_edits"))
 
 

@@ -28,3 +28,8 @@ def as_sql(spark, tmp_path):
 def test_names_of_two_forgotten_identities_count_twice(as_sql):
     keys = [k for k in range(3000) if k % 5]
     as_sql("forget_and_reserve", "supplier", pa.table({"s_suppkey": pa.array(keys, pa.int64()), "s_nationkey": pa.array([k % 1000 % 7 for k in keys], pa.int32())}))
+
+
+def test_markup_keeps_letters_apart(as_sql):
+    titles = ["Y Y Y Y ", "A&amp;B", "x<sup>2</sup> **a**b", "[y](a_b)", "a-\nb &nbsp;&#39;", None]
+    as_sql("page_views", "pages", pa.table({"page_id": pa.array(range(6), pa.int64()), "html": [t and f"<title>{t}</title>&copy;" for t in titles]}))
