@@ -10,6 +10,7 @@ each, ordered by start, then the longer first; a text of any length is read once
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.functions import pandas_udf
 
 from spanloom.functions.spans import find_spans
-from spanloom.sources.tables import table
+from spanloom.sources.tables import spread, table
 
 # --- links, alerts, breaks: built-in expressions ---------------------------------------------------------------------
 
@@ -100,15 +101,24 @@ _LINK = re.compile(r"!?\[((?:[^\[\]\\]|\\.|\[[^\[\]]*\])*)\]\((?:[^()\s\\]|\\.|\
 _ESCAPABLE = set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _PUNCTUATION = re.compile(r"[^\w\s]|_")
 _PAIRED = {"~~": "strike", "==": "highlight"}
-
-
-def _line_spans(t: str, at: int, end: int) -> list[tuple[int, int, str, int, int]]:
-    """Spans (start, end, kind, marks before, marks after) of the text t[at:end], a paragraph or a link's label."""
+#: A bracketed label that no target follows, whatever the next line is; what a tag over several lines begins with.
+_LABEL = re.compile(r"\[[^\[\]\\]*\](?!\()")
+_TAG_BEGINS = re.compile(r"[A-Za-z/]|$")
+_MATH = re.compile(r"\$(?!\s)[^$\n]+(?<!\s)\$(?![0-9])")
+#: The longest lines whose reading is remembered.
+CACHED = 2000
+#: Every character that can begin something; the others are passed over.
+_MARKS = re.compile(r"[\\`<!\[$~=*_]")
+
+
+def _line_spans(t: str, at: int, end: int, loose: list[int] | None = None) -> list[tuple[int, int, str, int, int]]:
+    """Spans (start, end, kind, marks before, marks after) of the text t[at:end], a paragraph, a line or a link's label. loose: gets
+    the place of what more text after the end could still close."""
     out: list[tuple[int, int, str, int, int]] = []
     runs: list[list] = []  # place, character, left, opens, closes
     paired: dict[str, int] = {}
-    while at < end:
-        c = t[at]
+    while found := _MARKS.search(t, at, end):
+        at, c = found.start(), found[0]
         if c == "\\" and at + 1 < end and t[at + 1] in _ESCAPABLE:
             out.append((at, at + 2, "escape", 1, 0))
             at += 2
@@ -117,6 +127,8 @@ def _line_spans(t: str, at: int, end: int) -> list[tuple[int, int, str, int, int
             close = next((m for m in _CODE.finditer(t, at + n, end) if len(m[0]) == n), None)
             if close:
                 out.append((at, close.end(), "code", n, n))
+            elif loose is not None:
+                loose.append(at)
             at = close.end() if close else at + n
         elif c == "<" and (m := _AUTO.match(t, at, end) or _TAG.match(t, at, end)):
             out.append((at, m.end(), "autolink" if m.re is _AUTO else "html", 1, 1))
@@ -126,7 +138,7 @@ def _line_spans(t: str, at: int, end: int) -> list[tuple[int, int, str, int, int
             out.append((at, m.end(), "image" if c == "!" else "link", lead, m.end() - m.end(1)))
             out += _line_spans(t, m.start(1), m.end(1))
             at = m.end()
-        elif c == "$" and (m := re.compile(r"\$(?!\s)[^$\n]+(?<!\s)\$(?![0-9])").match(t, at, end)):
+        elif c == "$" and (m := _MATH.match(t, at, end)):
             out.append((at, m.end(), "math", 1, 1))
             at = m.end()
         elif t[at : at + 2] in _PAIRED:
@@ -170,10 +182,22 @@ def _line_spans(t: str, at: int, end: int) -> list[tuple[int, int, str, int, int
                 runs.append([n - size, c, size, True, closes, whole])
             at = n
         else:
+            if loose is not None and (c == "[" and not _LABEL.match(t, at, end) or c == "<" and _TAG_BEGINS.match(t, at + 1, end)):
+                loose.append(at)
             at += 1
+    if loose is not None:
+        loose += [*paired.values(), *(r[0] for r in runs)]
     return out
 
 
+@lru_cache(maxsize=256)
+def _own_spans(line: str) -> list[tuple[int, int, str, int, int]] | None:
+    """The spans of a line by itself; None if they depend on the lines beside it."""
+    loose: list[int] = []
+    spans = _line_spans(line, 0, len(line), loose)
+    return None if loose else spans
+
+
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 
 
@@ -184,7 +208,14 @@ def read_inline(text: str | None) -> list[tuple[int, int, str, int, int]]:
     def flush(end: int) -> None:
         nonlocal start
         if start is not None:
-            out.extend(_line_spans(t, start, end))
+            at, lines = start, t[start:end].split("\n")
+            own = [(_own_spans if len(line) <= CACHED else _own_spans.__wrapped__)(line) for line in lines]
+            if None in own:
+                out.extend(_line_spans(t, start, end))
+            else:
+                for line, spans in zip(lines, own, strict=True):
+                    out.extend([(s + at, e + at, kind, n, m) for s, e, kind, n, m in spans])
+                    at += len(line) + 1
         start = None
 
     for line in t.split("\n"):
@@ -270,19 +301,27 @@ def crosses_syntax(text: Column, span: Column, protected: Column) -> Column:
     return F.exists(protected, lambda p: (p["start"] < span["end"]) & (span["start"] < p["end"]) & ~inside(p))
 
 
+@lru_cache(maxsize=256)
+def _line_kind(line: str) -> tuple[str, int]:
+    return ("list" if _LIST.match(line) else "heading" if _HEADING.match(line) else "quote" if line.lstrip().startswith(">") else "fence" if _FENCE.match(line) else "text" if line.strip() else "blank", line.count("|"))
+
+
+def _line_kinds(t: str) -> list[tuple[str, int]]:
+    """What each line of a block is."""
+    return [(_line_kind if len(line) <= CACHED else _line_kind.__wrapped__)(line) for line in t.split("\n")]
+
+
+@lru_cache(maxsize=4)
 def _shape(t: str) -> list[tuple[str, int]]:
-    """The kinds of a block's inline spans with how deep they lie, and what each line is."""
-    depth, ends, out = [], [], []
+    """The kinds of a block's inline spans with how deep they lie."""
+    depth, ends = [], []
     for s, e, kind, _, _ in read_inline(t):
         while ends and ends[-1] <= s:
             ends.pop()
         if kind != "escape":
             depth.append((kind, len(ends)))
         ends.append(e)
-    out += depth
-    for line in t.split("\n"):
-        out.append(("list" if _LIST.match(line) else "heading" if _HEADING.match(line) else "quote" if line.lstrip().startswith(">") else "fence" if _FENCE.match(line) else "text" if line.strip() else "blank", line.count("|")))
-    return out
+    return depth
 
 
 def keeps_structure(text: str, start: int, end: int) -> bool:
@@ -296,7 +335,8 @@ def keeps_structure(text: str, start: int, end: int) -> bool:
     block = text[first : len(text) if last < 0 else last]
     a, b = start - first, end - first
     joined = block[:a] + block[a:b].replace("\n", " ") + block[b:]
-    return _shape(joined) == _shape(block[:a] + "PERSON1" + block[b:])
+    changed = block[:a] + "PERSON1" + block[b:]
+    return _line_kinds(joined) == _line_kinds(changed) and _shape(joined) == _shape(changed)
 
 
 @pandas_udf(T.BooleanType())
@@ -363,7 +403,8 @@ SELECT o_orderkey AS doc_id, unnest(['link', 'emphasis', 'image', 'autolink', 's
 
 def span_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the same texts (numbers, words with marks, cells) against protected syntax and structure."""
-    found = _marked(spark, sf_dir).withColumn("protected", protected_ranges("text")).withColumn("s", F.explode(find_spans(F.col("text"), r"# Order [0-9]+|\*[0-9]\*|_[0-9]+_ x|a<br>b[0-9]|(?<=bold )_[0-9]+_")))
+    docs = spread(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.expr(MARKED).alias("text"))
+    found = docs.withColumn("protected", protected_ranges("text")).withColumn("s", F.explode(find_spans(F.col("text"), r"# Order [0-9]+|\*[0-9]\*|_[0-9]+_ x|a<br>b[0-9]|(?<=bold )_[0-9]+_")))
     judged = found.withColumn("crosses", crosses_syntax(F.col("text"), F.col("s"), F.col("protected"))).withColumn("plain", plain_text_span("text", F.col("s.start"), F.col("s.end")))
     return judged.select("doc_id", F.col("s.text").alias("value"), "crosses", "plain")
 

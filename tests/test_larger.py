@@ -33,3 +33,19 @@ def test_names_of_two_forgotten_identities_count_twice(as_sql):
 def test_markup_keeps_letters_apart(as_sql):
     titles = ["Y Y Y Y ", "A&amp;B", "x<sup>2</sup> **a**b", "[y](a_b)", "a-\nb &nbsp;&#39;", None]
     as_sql("page_views", "pages", pa.table({"page_id": pa.array(range(6), pa.int64()), "html": [t and f"<title>{t}</title>&copy;" for t in titles]}))
+
+
+def test_syntax_of_one_file_is_read_on_all_cores(spark, small):
+    assert registry.queries()["span_syntax"](spark, small).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > 1
+
+
+def test_lines_read_by_themselves_give_the_paragraph():
+    import random
+
+    from spanloom.operators import syntax
+
+    r, bits = random.Random(2), [*"\\`*_~=$<>![]()\"'\n\n|#a1. ", "**", "[x](y)", "<br>", "<b c=\"d\">", "`q`", "[!N]\n", "$x$", "é"]
+    for _ in range(3000):
+        t = "x" + "".join(r.choice(bits) for _ in range(25)).replace("\n\n", "\n").replace("\n \n", "\n") + "x"
+        if all(line.strip() for line in t.split("\n")) and "```" not in t:
+            assert syntax.read_inline(t) == sorted(syntax._line_spans(t, 0, len(t)), key=lambda x: (x[0], -x[1])), t
